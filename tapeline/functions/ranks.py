@@ -21,14 +21,17 @@ def _cut(df: DataFrame, keys: Sequence[str], value: str, buckets: int) -> DataFr
     """Distinct (keys, value) with a tie count and a bucket number.
 
     Grouping by the value first is the map-side combine that keeps one hot
-    value from becoming one hot bucket."""
-    ties = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("__ties"))
-    probs = [i / buckets for i in range(1, buckets)]
-    cuts = (
+    value from becoming one hot bucket.  Cut points come from the distinct
+    values, and every branch reads the tie count, so all of them share the one
+    exchange of the first aggregation."""
+    ties = (
         df.where(F.col(value).isNotNull())
-        .groupBy(*keys)
-        .agg(F.array_distinct(F.percentile_approx(value, probs, 1000)).alias("__cuts"))
+        .groupBy(*keys, value)
+        .agg(F.count(F.lit(1)).alias("__ties"))
+        .where(F.col("__ties") > 0)
     )
+    probs = [i / buckets for i in range(1, buckets)]
+    cuts = ties.groupBy(*keys).agg(F.array_distinct(F.percentile_approx(value, probs, 1000)).alias("__cuts"))
     return ties.join(cuts, list(keys)).withColumn(
         "__b", F.size(F.filter("__cuts", lambda c: c < F.col(value)))
     ).drop("__cuts")

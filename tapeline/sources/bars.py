@@ -70,27 +70,29 @@ def resample_last(bars: DataFrame) -> DataFrame:
 
 
 def calendar(bars: DataFrame) -> DataFrame:
-    """Union of all bar dates with a dense 0-based ordinal ``ci``.
+    """Union of all bar dates with a dense 0-based ordinal ``ci`` and the length ``cn``.
 
     Two passes keep it parallel: days are counted per month, the month offsets
     are prefix sums over that small table, and the order inside a month is a
     window of at most 31 (or 744 hourly) rows."""
     days = bars.select("ts").distinct().withColumn("__m", F.date_trunc("month", "ts"))
     months = days.groupBy("__m").agg(F.count(F.lit(1)).alias("__n"))
-    years = Window.partitionBy(F.lit(0)).orderBy("__m").rowsBetween(Window.unboundedPreceding, -1)
-    months = months.select("__m", F.coalesce(F.sum("__n").over(years), F.lit(0)).alias("__before"))
+    one = Window.partitionBy(F.lit(0))
+    before = one.orderBy("__m").rowsBetween(Window.unboundedPreceding, -1)
+    months = months.select(
+        "__m",
+        F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"),
+        F.sum("__n").over(one).alias("cn"),
+    )
     inside = Window.partitionBy("__m").orderBy("ts")
     return days.join(months, "__m").select(
-        "ts", (F.col("__before") + F.row_number().over(inside) - 1).cast("long").alias("ci")
+        "ts", (F.col("__before") + F.row_number().over(inside) - 1).cast("long").alias("ci"), "cn"
     )
 
 
 def with_calendar(bars: DataFrame) -> DataFrame:
     """Bars with the union-calendar ordinal ``ci`` and the calendar length ``cn``."""
-    cal = calendar(bars)
-    length = cal.agg((F.max("ci") + 1).alias("cn"))
-    # one row: a scalar, not a data-sized broadcast
-    return bars.join(cal, "ts").join(F.broadcast(length), how="cross")
+    return bars.join(calendar(bars), "ts")
 
 
 def densify(bars: DataFrame, ffill: int = 0) -> DataFrame:
