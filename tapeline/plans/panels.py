@@ -189,7 +189,7 @@ def px_sql(panel: str, alias: str = "px") -> str:
     97 * exp(cum - 0.02 * dev + 0.02 * (ln(open) - mu)) AS open,
     97 * exp(cum - 0.02 * dev + 0.02 * (ln(high) - mu)) AS high,
     97 * exp(cum - 0.02 * dev + 0.02 * (ln(low) - mu)) AS low,
-    97 * exp(cum) AS close, volume, row_number() OVER (PARTITION BY symbol ORDER BY ts) - 1 AS i,
+    97 * exp(cum - 0.02 * dev + 0.02 * dev) AS close, volume, row_number() OVER (PARTITION BY symbol ORDER BY ts) - 1 AS i,
     count(*) OVER (PARTITION BY symbol) AS n
   FROM {alias}_c)"""
 
