@@ -92,7 +92,7 @@ def recent_filings(index: DataFrame, as_of: Column, days: int = 90, form: str =
     z = F.arrays_zip("form", "accessionNumber", "filingDate", "primaryDocument")
     keep = [c for c in index.columns if c not in ("form", "accessionNumber", "filingDate", "primaryDocument")]
     x = index.select(*keep, as_of.alias("__t"), F.inline(z))
-    day = F.try_to_date("filingDate", F.lit("yyyy-MM-dd"))
+    day = F.try_to_date("filingDate", "yyyy-MM-dd")
     return x.where((F.col("form") == form) & (day >= F.date_sub(F.to_date("__t"), days))).select(
         *keep, F.regexp_replace("accessionNumber", "-", "").alias("accession"), day.alias("filing_date"), F.col("primaryDocument").alias("doc")
     )
