@@ -177,9 +177,9 @@ def candle_ctes(panel: str = "type") -> list[str]:
         + ", ".join(f"lead(close, {h}) OVER ({WS}) / close - 1 AS f{h}" for h in hs)
         + " FROM px)",
         "bu AS (" + " UNION ALL ".join(f"SELECT symbol, {h}::BIGINT AS horizon, avg((f{h} > 0)::INT) AS up FROM fw WHERE f{h} IS NOT NULL GROUP BY 1" for h in hs) + ")",
-        "cl AS (" + " UNION ALL ".join(f"SELECT e.symbol, e.name, e.bias, {h}::BIGINT AS horizon, f{h} AS f FROM cev e JOIN fw USING (symbol, ts)" for h in hs) + ")",
+        "ccl AS (" + " UNION ALL ".join(f"SELECT e.symbol, e.name, e.bias, {h}::BIGINT AS horizon, f{h} AS f FROM cev e JOIN fw USING (symbol, ts)" for h in hs) + ")",
         """cb AS MATERIALIZED (SELECT symbol, name, bias, horizon, c AS count, s AS samples, win_rate, avg_return, win_rate - CASE WHEN bias = 'bearish' THEN 1 - up ELSE up END AS edge, up AS base_up FROM (
- SELECT symbol, name, bias, horizon, count(*) AS c, count(f) AS s, avg(CASE WHEN f IS NULL THEN NULL WHEN bias = 'bearish' THEN (f < 0)::INT ELSE (f > 0)::INT END) AS win_rate, avg(f) AS avg_return FROM cl GROUP BY 1, 2, 3, 4)
+ SELECT symbol, name, bias, horizon, count(*) AS c, count(f) AS s, avg(CASE WHEN f IS NULL THEN NULL WHEN bias = 'bearish' THEN (f < 0)::INT ELSE (f > 0)::INT END) AS win_rate, avg(f) AS avg_return FROM ccl GROUP BY 1, 2, 3, 4)
  JOIN bu USING (symbol, horizon) WHERE c >= 5 AND s > 0)""",
     ]
 
