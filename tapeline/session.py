@@ -1,9 +1,10 @@
-"""Session defaults and the checkpoint folder rule."""
+"""Session defaults and the shared working folder."""
 
 from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,20 +24,30 @@ def local_session(cores: str = "*", app: str = "tapeline", partitions: int = 8)
     )
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Checkpoint into the folder the cluster names in ``spark.checkpoint.dir``.
+def shared_dir(spark: SparkSession) -> str:
+    """The folder the cluster names in ``spark.checkpoint.dir``.
+
+    A machine-local one is made only where none is named and the session runs
+    in local mode; a cluster without the setting is an error, because executors
+    could not read a local folder back after a loss."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
+    made = tempfile.mkdtemp(prefix="tapeline-")
+    spark.conf.set("spark.checkpoint.dir", made)
+    return made
+
 
-    A machine-local folder is set only when the session names none and runs in
-    local mode; on a cluster an unset folder is an error, because executors
-    could not read it back after a loss."""
-    spark = df.sparkSession
-    sc = spark.sparkContext
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Checkpoint into the shared folder, so a lost executor reruns nothing upstream."""
+    sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        if named:
-            sc.setCheckpointDir(named)
-        elif sc.master.startswith("local"):
-            sc.setCheckpointDir(tempfile.mkdtemp(prefix="tapeline-checkpoint-"))
-        else:
-            raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
+        sc.setCheckpointDir(shared_dir(df.sparkSession))
     return df.checkpoint()
+
+
+def fresh_dir(spark: SparkSession, name: str) -> str:
+    """A new folder below the shared one."""
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
