@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import windows as w
+from ..session import keep
 from . import candles as C
 from . import crosssection as X
 from . import evaluations as E
@@ -191,7 +192,7 @@ def posture_inputs(bars: DataFrame, benchmark: DataFrame) -> DataFrame:
         F.when(rsi >= 70, -0.6).when(rsi <= 30, 0.6).otherwise((rsi - 50) / 40 * 0.4).alias("rsi"),
         F.when(F.col("macd") > F.col("macd_signal"), 0.6).when(F.col("macd_signal").isNotNull(), -0.6).alias("macd"),
     )
-    rs = R.relative_strength(bars, benchmark)
+    rs = keep(R.relative_strength(bars, benchmark))
     tt = R.trend_template(bars, rs)
     base = (F.col("score") - 4) / 4.0
     tv = F.when(F.col("stage") == 4, F.least(base, F.lit(-0.5))).when(F.col("stage") == 2, F.greatest(base, F.lit(0.5))).otherwise(base)
@@ -202,7 +203,7 @@ def posture_inputs(bars: DataFrame, benchmark: DataFrame) -> DataFrame:
     rv = rs.select("symbol", F.col("value").alias("relative_strength"))
     out = tr
     for other in (al, rg, li, tt, _edge_candles(bars), _volume_vote(bars), pt, rv):
-        out = out.join(other, "symbol", "left")
+        out = out.join(keep(other), "symbol", "left")
     return out
 
 
@@ -255,7 +256,7 @@ def situation_inputs(bars: DataFrame, benchmark: DataFrame) -> DataFrame:
     )
     out = li
     for other in (rg, al, tt, cd, vs, sr):
-        out = out.join(other, "symbol", "left")
+        out = out.join(keep(other), "symbol", "left")
     return out
 
 
@@ -334,7 +335,7 @@ def buy_checklist(resistance: DataFrame, dip: DataFrame, sector: DataFrame, ext:
         (pros, [F.lit(True).alias("has_pros")]),
         (gap, [F.col("gapped_today")]),
     ):
-        x = x.join(df.select("symbol", *cols), "symbol", "left")
+        x = x.join(keep(df.select("symbol", *cols)), "symbol", "left")
 
     def factor(name: str, cond: Column, status: Column) -> Column:
         return F.when(w.flag(cond), F.struct(F.lit(name).alias("factor"), status.alias("status")))
@@ -380,8 +381,8 @@ def pattern_read(bars: DataFrame, window: int = 504, min_bars: int = 150) -> Dat
     """Net chance of a higher close in 10 bars from the recent candles, against
     the base rate, with a conflict flag and the patterns whose edge differs in
     the last ``window`` bars."""
-    full = _read(bars, E.candle_backtest(bars))
-    recent = _read(bars, E.candle_backtest(bars, tail=window))
+    full = keep(_read(bars, E.candle_backtest(bars)))
+    recent = keep(_read(bars, E.candle_backtest(bars, tail=window)))
     n = bars.groupBy("symbol").agg(F.count("close").alias("__n"))
     t = _tilt(full)
     r = _tilt(recent).select("symbol", F.col("p_up").alias("p_up_recent"), (100.0 * (F.col("p_up") - F.col("base_up"))).alias("tilt_recent_pp"))
@@ -477,7 +478,7 @@ def scan(bars: DataFrame, benchmark: DataFrame, h: int = 21) -> DataFrame:
     pl = TP.trade_plan(bars, h).select("symbol", "target", "stop", "p_profit_intraperiod", "weekly_vol")
     out = g
     for other in (rs, rev, dip, bw, pl):
-        out = out.join(other, "symbol", "left")
+        out = out.join(keep(other), "symbol", "left")
     ex = F.coalesce("rs_excess", F.lit(-0.99))
     score = X.setup_score(F.col("rsi"), F.col("price"), F.col("__s20"), F.col("__s200"), ex, F.col("reversal"))
     bucket = F.when(w.flag(F.col("active")), "active").when(w.flag(F.col("__dip") & F.col("__up")), "waiting").when(w.flag(F.col("__dip")), "downtrend")

@@ -11,6 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .. import session
 from ..functions import ranks, stats
 from ..functions import windows as w
 from ..sources import bars as B
@@ -118,7 +119,7 @@ def sector_events(df: DataFrame, share: float = BROAD, coverage: float = 0.7, mi
         & (F.col("present") / F.col("size") > coverage)
     )
     ev = ev.withColumn("__day", F.unix_date(F.to_date("ts")))
-    return keep_spaced(ev, ["sector"], "__day", days, ["ts"])
+    return session.keep(keep_spaced(ev, ["sector"], "__day", days, ["ts"]))
 
 
 def sector_event_study(df: DataFrame, horizons: Sequence[int] = (5, 21), min_events: int = 8, **kw) -> DataFrame:
@@ -226,7 +227,7 @@ def runup_events(df: DataFrame, spike: float = 3.5, gap: int = 40) -> DataFrame:
 
 def runup_event_study(df: DataFrame, spike: float = 3.5, gap: int = 40) -> DataFrame:
     """Returns after the top and bottom 30% of run-ups and their pooled t."""
-    e = runup_events(df, spike, gap).withColumn("__one", F.lit("all"))
+    e = session.keep(runup_events(df, spike, gap).withColumn("__one", F.lit("all")))
     q = ranks.exact_quantiles(e, ["__one"], "runup", {"q70": 0.7, "q30": 0.3})
     # the quantile table is a single row
     x = e.join(F.broadcast(q), "__one")

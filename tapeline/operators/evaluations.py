@@ -7,6 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .. import session
 from ..functions import ranks, scan, stats
 from ..functions import windows as w
 from . import candles, joins
@@ -51,6 +52,7 @@ def vol_eval(df: DataFrame, h: int = H) -> DataFrame:
     rows = x.unpivot(["symbol", "ts", "rvar", "move"], NAMES, "estimator", "sigma").where(F.col("sigma") > 0)
     s = F.col("sigma")
     rows = rows.withColumns({"q": qlike(F.col("rvar"), s, h), "size": F.abs("move"), "band": Z * s * math.sqrt(h)})
+    rows = session.keep(rows)
     g = rows.groupBy("estimator").agg(
         F.count(F.lit(1)).alias("n"),
         F.avg("q").alias("qlike"),
@@ -95,7 +97,7 @@ def category_vol_study(df: DataFrame, category: str = "sector", h: int = H) -> D
     coverage, the exact 95% multiplier and the best estimator by QLIKE."""
     x = with_targets(df, h).where((F.col("i") >= V.WINDOW + 40) & F.col("move").isNotNull())
     x = x.withColumn("z", F.when(F.col("blend") > 0, F.col("move") / (F.col("blend") * math.sqrt(h))))
-    x = x.withColumn("az", F.abs("z"))
+    x = session.keep(x.withColumn("az", F.abs("z")))
     g = x.groupBy(category).agg(
         F.count("z").alias("n"),
         F.avg(F.when(F.col("blend") > 0, F.col("blend"))).alias("daily_vol"),

@@ -216,8 +216,10 @@ def with_weekly_trend(df: DataFrame, weeks: int = 40) -> DataFrame:
     wk = wk.withColumn("wk_sma", w.roll(F.avg, "close", weeks)).select(
         "symbol", "ts", "wk_sma", w.flag(F.col("close") > F.col("wk_sma")).alias("wk_up")
     )
-    x = joins.asof_backward(df, wk, ["symbol"], ["wk_sma", "wk_up"], unit="year").drop("match_ts")
-    return x.withColumn(
-        "above_wk40",
-        F.coalesce(w.lag("wk_up"), F.lit(False)) & w.flag(F.col("close") > w.lag("wk_sma")),
-    ).drop("wk_sma", "wk_up")
+    x = joins.asof_backward(df.select("symbol", "ts", "close"), wk, ["symbol"], ["wk_sma", "wk_up"], unit="year")
+    x = x.select(
+        "symbol",
+        "ts",
+        (F.coalesce(w.lag("wk_up"), F.lit(False)) & w.flag(F.col("close") > w.lag("wk_sma"))).alias("above_wk40"),
+    )
+    return df.join(x, ["symbol", "ts"])

@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .. import session
 from ..functions import windows as w
 
 ORDER = 5
@@ -20,7 +21,7 @@ CHART = 260
 def chart_tail(df: DataFrame, bars: int = CHART) -> DataFrame:
     """The newest ``bars`` bars with a chart-local ordinal ``x`` and length."""
     d = df.withColumn("__a", w.bars_ago()).where(F.col("__a") < bars).drop("__a")
-    return d.withColumns({"x": w.bar_no(), "n": w.n_bars()})
+    return session.keep(d.withColumns({"x": w.bar_no(), "n": w.n_bars()}))
 
 
 def swing_extrema(df: DataFrame, k: int = ORDER) -> DataFrame:

@@ -13,6 +13,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .. import session
 from ..functions import ranks, stats
 from ..functions import windows as w
 from ..sources import bars as B
@@ -117,6 +118,8 @@ def run_study(
     difference against unselected symbols with its t over sampled dates."""
     keys = ["signal", "horizon"]
     rows = expand(panel, masks, horizons, start)
+    if quantiles:
+        rows = session.keep(rows)
     out = summarise(by_date(rows, keys, pooled_on_sample), keys)
     if quantiles:
         hits = rows.where(F.col("hit") & F.col("sampled") if pooled_on_sample else F.col("hit"))
@@ -188,6 +191,7 @@ def baseline_returns(panel: DataFrame, horizons: Sequence[int]) -> DataFrame:
             F.array(*[F.struct(F.lit(h).cast("long").alias("horizon"), F.col(f"fwd_{h}").alias("fwd")) for h in horizons])
         )
     ).where(F.col("fwd").isNotNull())
+    rows = session.keep(rows)
     g = rows.groupBy("horizon").agg(
         F.count("fwd").alias("n"), F.avg("fwd").alias("mean_ret"), stats.rate(F.col("fwd") > 0).alias("win_rate")
     )

@@ -13,6 +13,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .. import session
 from ..functions import stats
 from ..functions import windows as w
 from . import indicators as I
@@ -90,7 +91,7 @@ def _prepared(df: DataFrame) -> DataFrame:
         {"sma5": I.sma("close", 5), "sma200": I.sma("close", 200), "i": w.bar_no(), "n": w.n_bars()}
     )
     dip = w.flag((F.col("rsi2") < DIP_RSI) & (F.col("close") > F.col("sma200")))
-    return with_exit(x.withColumn("dip", dip & (F.col("i") >= WARM)))
+    return session.keep(with_exit(x.withColumn("dip", dip & (F.col("i") >= WARM))))
 
 
 def dip_trades(df: DataFrame) -> DataFrame:

@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from ..operators import composites as CO
 from ..operators import evaluations as E
-from ..operators import insiders as IN
 from ..operators import levels as L
 from ..operators import regimes as R
 from ..operators import trades as TR
@@ -78,16 +77,24 @@ def consensus_snapshot(spark, d):
 
 
 def bench(spark, d):
-    return P.market(P.type_px(spark, d))
+    return P.shared(spark, d, "market", lambda: P.market(P.type_px(spark, d)))
 
 
 def insider(spark, d):
-    return IN.summary(IN.recent(FD.parse_form4(PFD.filings(spark, d)), 90))
+    return P.shared(spark, d, "insider", lambda: PFD.insider_summary(spark, d))
+
+
+def strength(spark, d):
+    return P.shared(spark, d, "strength", lambda: R.relative_strength(px(spark, d), bench(spark, d)))
+
+
+def template(spark, d):
+    return P.shared(spark, d, "template", lambda: R.trend_template(px(spark, d), strength(spark, d)))
 
 
 def conviction_frame(spark, d):
-    rs = R.relative_strength(px(spark, d), bench(spark, d))
-    return CO.conviction(rs, R.trend_template(px(spark, d), rs), insider(spark, d), runup(spark, d), R.crossover_system(px(spark, d)))
+    cross = P.shared(spark, d, "crossover", lambda: R.crossover_system(px(spark, d)))
+    return CO.conviction(strength(spark, d), template(spark, d), insider(spark, d), runup(spark, d), cross)
 
 
 CONV = [
@@ -158,7 +165,7 @@ FACTS_BASE = [
     + "SELECT symbol, CAST(bull AS BIGINT) AS bull, CAST(bear AS BIGINT) AS bear, bs AS bias, nr AS near_resistance, ns AS near_support, atr_ AS at_resistance, ats_ AS at_support FROM fc",
 )
 def directional_bias(spark, d):
-    return CO.directional_bias(CO.situation_inputs(px(spark, d), bench(spark, d))).select(
+    return CO.directional_bias(facts(spark, d)).select(
         "symbol", "bull", "bear", "bias", "near_resistance", "near_support", "at_resistance", "at_support"
     )
 
@@ -189,11 +196,19 @@ _RULES = [
     + "SELECT symbol, bias, pos, rule, rule_bias, priority FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY priority, o) AS pos FROM ru) WHERE pos <= 6",
 )
 def situation_rules(spark, d):
-    return CO.situation_rules(CO.situation_inputs(px(spark, d), bench(spark, d)))
+    return CO.situation_rules(facts(spark, d))
+
+
+def posture(spark, d):
+    return P.shared(spark, d, "posture_inputs", lambda: CO.posture_inputs(px(spark, d), bench(spark, d)))
+
+
+def facts(spark, d):
+    return P.shared(spark, d, "facts", lambda: CO.situation_inputs(px(spark, d), bench(spark, d)))
 
 
 def posture_frame(spark, d):
-    return CO.posture_score(CO.posture_inputs(px(spark, d), bench(spark, d)))
+    return CO.posture_score(posture(spark, d))
 
 
 @query("posture_score", "E24")
@@ -219,7 +234,7 @@ def posture_score(spark, d):
  LEFT JOIN tmpl USING (symbol) LEFT JOIN ce USING (symbol) LEFT JOIN vv USING (symbol) LEFT JOIN rstr USING (symbol)""".replace("stage = 4", "tmpl.stage = 4").replace("stage = 2", "tmpl.stage = 2"),
 )
 def posture_components(spark, d):
-    return CO.posture_inputs(px(spark, d), bench(spark, d)).drop("patterns")
+    return posture(spark, d).drop("patterns")
 
 
 LATEST_PULSE = "lp AS (SELECT symbol, arg_max(event, ts) AS event, arg_max(coalesce(event, '-'), ts) AS ev FROM pu GROUP BY 1)"
@@ -325,12 +340,15 @@ ALERTS = [
 
 
 def snapshot(spark, d):
+    return P.shared(spark, d, "snapshot", lambda: _snapshot(spark, d))
+
+
+def _snapshot(spark, d):
     b = px(spark, d)
-    rs = R.relative_strength(b, bench(spark, d))
     return (
         CO.latest_indicators(b)
         .join(R.ma_regime(b).select("symbol", "cross", "above_sma200"), "symbol", "left")
-        .join(R.trend_template(b, rs).select("symbol", "passes", "stage", "score"), "symbol", "left")
+        .join(template(spark, d).select("symbol", "passes", "stage", "score"), "symbol", "left")
     )
 
 

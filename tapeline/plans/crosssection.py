@@ -4,15 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import windows as w
 from ..operators import crosssection as X
 from ..operators import indicators as I
 from ..operators import masks as M
 from . import panels as P
-from .indicators import RSI_EWM_SQL, RSI_WILDER_SQL, WS, full, gains, numbered, recur
+from .indicators import RSI_WILDER_SQL, WS, full, gains, recur
 from .registry import query
 from .regimes import AGE, GAPS
-from .studies import BENCH_SQL, CAL, FEAT_RSI, F1
+from .studies import CAL, F1, FEAT_RSI, features
 
 PX = P.px_sql("brand")
 SEC_SQL = f"""sx AS MATERIALIZED (SELECT px.*, 'S' || (CAST(substr(symbol, 7) AS INTEGER) % 3) AS sector, close / lag(close) OVER ({WS}) - 1 AS r1, close / lag(close, 5) OVER ({WS}) - 1 AS r5,
@@ -215,8 +214,11 @@ SCORE_SQL = """CASE WHEN close > sma200 AND {rs} > 0 AND {rsi} IS NOT NULL THEN
 
 
 def scored(spark, d):
-    x = M.with_relative(I.rsi(M.with_features(P.brand_px(spark, d))), P.market(P.type_px(spark, d)))
-    return x.withColumn("score", X.setup_score(F.col("rsi"), F.col("close"), F.col("sma20"), F.col("sma200"), F.col("rs")))
+    def build():
+        x = M.with_relative(I.rsi(features(spark, d)), P.market(P.type_px(spark, d)))
+        return x.withColumn("score", X.setup_score(F.col("rsi"), F.col("close"), F.col("sma20"), F.col("sma200"), F.col("rs")))
+
+    return P.shared(spark, d, "scored", build)
 
 
 SCORED = [
@@ -283,7 +285,7 @@ _R = ["close > sma200", "sma50 > sma200", "rsi14 < 35", "rsi14 > 55", "close >=
     + "SELECT b.symbol, b.rule AS best_rule, b.wi AS win_in_sample, CASE WHEN b.no >= 15 THEN b.wo END AS win_out_of_sample, h.wo AS hold_out_of_sample FROM ib b JOIN ig h ON h.symbol = b.symbol AND h.rule = 'hold' WHERE b.k = 1",
 )
 def in_out_of_sample(spark, d):
-    x = M.with_rsi(M.with_features(P.brand_px(spark, d)))
+    x = features(spark, d, True)
     return X.in_out_of_sample(x, {n: c() for n, c in RULES.items()})
 
 

@@ -79,7 +79,7 @@ def parse_form4(spark, d):
     + "SELECT sw.* EXCLUDE (bw, sw), buy_names, buy_people >= 3 AND buy_shares > 0 AS cluster_buy, CASE WHEN bw > 0 AND bw >= sw THEN 'buying' WHEN sw > 0 AND sw > bw THEN 'selling' ELSE 'routine' END AS signal FROM sw LEFT JOIN p6 USING (issuer)",
 )
 def insider_summary(spark, d):
-    return IN.summary(IN.recent(FD.parse_form4(filings(spark, d)), 90))
+    return IN.summary(FD.parse_form4(IN.recent(filings(spark, d), 90)))
 
 
 @query(

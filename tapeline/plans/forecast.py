@@ -131,7 +131,7 @@ def weekly_direction_eval(spark, d):
 
 
 def scored(spark, d):
-    return PS.scored_series(P.type_px(spark, d), bench(spark, d).select("ts", "close"))
+    return P.shared(spark, d, "posture_series", lambda: PS.scored_series(P.type_px(spark, d), bench(spark, d).select("ts", "close")))
 
 
 @query("posture_series", "F43")

@@ -14,12 +14,12 @@ from .evaluations import XS
 from .indicators import WS
 from .levels import BUCKET_P
 from .registry import query
-from .studies import FEAT_RSI, SQL_MASKS
+from .studies import FEAT_RSI, SQL_MASKS, features
 
 
 def verdicts(spark, d):
     """Per-bar verdict columns of the brand panel."""
-    x = M.with_rsi(M.with_features(P.brand_px(spark, d)))
+    x = features(spark, d, True)
     x = x.withColumn("__ath", F.max("close").over(w.history(shift=1)))
     cross = E.crossover_states(P.brand_px(spark, d)).select(
         "symbol", "ts", F.when(F.col("fresh"), F.lit("up")).alias("crossover_direction")
@@ -51,8 +51,7 @@ COLS = "ts, symbol, signal_type, direction, predicted_p, entry_price, note"
 
 def ledger(spark, d):
     """The logged table: doubled input collapses to one row per key."""
-    new = L.extract_signals(verdicts(spark, d))
-    return L.log_signals(new)
+    return P.shared(spark, d, "ledger", lambda: L.log_signals(L.extract_signals(verdicts(spark, d))))
 
 
 @query("extract_signals", "I1 K10", P.with_(*V, recursive=True) + f"SELECT {COLS} FROM lg")
@@ -81,7 +80,7 @@ SCORE = [
 
 def scored(spark, d):
     bars = P.brand_px(spark, d).withColumn("symbol", F.upper("symbol"))
-    return L.score_forward(ledger(spark, d), bars, P.market(P.type_px(spark, d)))
+    return P.shared(spark, d, "ledger_scored", lambda: L.score_forward(ledger(spark, d), bars, P.market(P.type_px(spark, d))))
 
 
 @query("score_forward", "I3 J3", P.with_(*SCORE, recursive=True) + f"SELECT {COLS}, entry_close, ret_5, ret_21, ret_63, bench_5, bench_21, bench_63 FROM sc")

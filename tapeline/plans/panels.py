@@ -16,10 +16,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import session
 from ..sources import bars as B
 
 
@@ -85,34 +85,34 @@ def event_trades(spark: SparkSession, d: str) -> DataFrame:
 _SHARED: dict[tuple[str, str, str], DataFrame] = {}
 
 
-def _shared(spark: SparkSession, d: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
-    """Bars are the silver table of every query: one row per symbol and
-    interval, a tiny fraction of the trades.  They are persisted on first use
-    (spilling to disk, rebuilt from lineage if an executor is lost) so a query
-    that reads a panel twice never scans the trades twice."""
+def shared(spark: SparkSession, d: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """A derived table, written on first use in a session and read after that.
+
+    Bars are the silver table of every query: one row per symbol and interval,
+    a tiny fraction of the trades, so the trades are scanned once however often
+    a query or its neighbours read the panel."""
     key = (spark.sparkContext.applicationId, d, name)
     if key not in _SHARED:
-        _SHARED[key] = build().persist(StorageLevel.MEMORY_AND_DISK)
+        _SHARED[key] = session.as_table(build(), name)
     return _SHARED[key]
 
 
 def release() -> None:
-    """Drop every persisted panel."""
-    for df in _SHARED.values():
-        df.unpersist()
+    """Forget every derived table and unpersist intermediates."""
+    session.release()
     _SHARED.clear()
 
 
 def type_bars(spark: SparkSession, d: str) -> DataFrame:
-    return _shared(spark, d, "type", lambda: B.bars_from_trades(part_trades(spark, d, "p_type"), "1d", "seq"))
+    return shared(spark, d, "type", lambda: B.bars_from_trades(part_trades(spark, d, "p_type"), "1d", "seq"))
 
 
 def brand_bars(spark: SparkSession, d: str) -> DataFrame:
-    return _shared(spark, d, "brand", lambda: B.bars_from_trades(part_trades(spark, d, "p_brand"), "1d", "seq"))
+    return shared(spark, d, "brand", lambda: B.bars_from_trades(part_trades(spark, d, "p_brand"), "1d", "seq"))
 
 
 def nation_bars(spark: SparkSession, d: str) -> DataFrame:
-    return _shared(spark, d, "nation", lambda: B.bars_from_trades(nation_trades(spark, d), "1d", "seq"))
+    return shared(spark, d, "nation", lambda: B.bars_from_trades(nation_trades(spark, d), "1d", "seq"))
 
 
 def sectors(spark: SparkSession, d: str) -> DataFrame:
@@ -120,19 +120,19 @@ def sectors(spark: SparkSession, d: str) -> DataFrame:
 
 
 def event_bars(spark: SparkSession, d: str) -> DataFrame:
-    return _shared(spark, d, "event", lambda: B.bars_from_trades(event_trades(spark, d), "1h", "ts"))
+    return shared(spark, d, "event", lambda: B.bars_from_trades(event_trades(spark, d), "1h", "ts"))
 
 
 def type_px(spark: SparkSession, d: str) -> DataFrame:
-    return _shared(spark, d, "type_px", lambda: B.damped(type_bars(spark, d)))
+    return shared(spark, d, "type_px", lambda: B.damped(type_bars(spark, d)))
 
 
 def brand_px(spark: SparkSession, d: str) -> DataFrame:
-    return _shared(spark, d, "brand_px", lambda: B.damped(brand_bars(spark, d)))
+    return shared(spark, d, "brand_px", lambda: B.damped(brand_bars(spark, d)))
 
 
 def nation_px(spark: SparkSession, d: str) -> DataFrame:
-    return _shared(spark, d, "nation_px", lambda: B.damped(nation_bars(spark, d)))
+    return shared(spark, d, "nation_px", lambda: B.damped(nation_bars(spark, d)))
 
 
 def market(px: DataFrame) -> DataFrame:

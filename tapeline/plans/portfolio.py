@@ -21,6 +21,10 @@ PB, PT = P.px_sql("brand", "bpx"), P.px_sql("type", "tpx")
 
 
 def holdings(spark, d):
+    return P.shared(spark, d, "holdings", lambda: _holdings(spark, d))
+
+
+def _holdings(spark, d):
     li = P.table(spark, d, "lineitem").select("l_orderkey", "l_partkey", "l_quantity", "l_discount", "l_returnflag")
     part = P.table(spark, d, "part").select("p_partkey", "p_brand", "p_type", "p_size")
     o = P.table(spark, d, "orders").select("o_orderkey", "o_custkey")
@@ -50,6 +54,10 @@ def accounts(spark, d):
 
 
 def fund_holdings(spark, d):
+    return P.shared(spark, d, "fund_holdings", lambda: _fund_holdings(spark, d))
+
+
+def _fund_holdings(spark, d):
     li = P.table(spark, d, "lineitem").select("l_partkey", "l_quantity")
     part = P.table(spark, d, "part").select("p_partkey", "p_brand", "p_type")
     g = li.join(part, li["l_partkey"] == part["p_partkey"]).groupBy("p_type", "p_brand").agg(F.sum("l_quantity").alias("q"))
@@ -58,7 +66,7 @@ def fund_holdings(spark, d):
 
 
 def both_px(spark, d):
-    return P._shared(spark, d, "both_px", lambda: P.brand_px(spark, d).unionByName(P.type_px(spark, d)))
+    return P.shared(spark, d, "both_px", lambda: P.brand_px(spark, d).unionByName(P.type_px(spark, d)))
 
 
 def prices(spark, d):
@@ -66,7 +74,7 @@ def prices(spark, d):
 
 
 def values(spark, d):
-    return PF.value_holdings(holdings(spark, d), prices(spark, d), fund_holdings(spark, d))
+    return P.shared(spark, d, "values", lambda: PF.value_holdings(holdings(spark, d), prices(spark, d), fund_holdings(spark, d)))
 
 
 HOLD = [
@@ -213,7 +221,7 @@ RET = [
 
 @query("portfolio_returns", "H8", P.with_(*RET) + "SELECT * FROM prt")
 def portfolio_returns(spark, d):
-    return PF.portfolio_returns(values(spark, d), both_px(spark, d))
+    return P.shared(spark, d, "portfolio_returns", lambda: PF.portfolio_returns(values(spark, d), both_px(spark, d)))
 
 
 @query(
@@ -223,7 +231,7 @@ def portfolio_returns(spark, d):
     + "SELECT account, sd * sqrt(5) AS weekly_vol, sd * sqrt(252) AS annual_vol, 1.96 * sd * sqrt(5) AS typical_week FROM pv",
 )
 def portfolio_vol(spark, d):
-    return PF.portfolio_vol(PF.portfolio_returns(values(spark, d), both_px(spark, d)))
+    return PF.portfolio_vol(portfolio_returns(spark, d))
 
 
 @query(
@@ -239,7 +247,7 @@ def portfolio_vol(spark, d):
     + "SELECT account, max_drawdown, trough_ts, n_returns, peak_ts, (SELECT min(ts) FROM e2 WHERE e2.account = e4.account AND ts > trough_ts AND eq >= (SELECT eq FROM e2 z WHERE z.account = e4.account AND z.ts = e4.peak_ts)) AS recovered_ts FROM e4",
 )
 def portfolio_drawdown(spark, d):
-    return PF.portfolio_drawdown(PF.portfolio_returns(values(spark, d), both_px(spark, d)))
+    return PF.portfolio_drawdown(portfolio_returns(spark, d))
 
 
 LIGHT = [

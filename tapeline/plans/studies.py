@@ -135,8 +135,10 @@ def study_sql(ctes: list[str], names: list[str], horizons, src: str, start=260,
 
 
 def features(spark, d, rsi: bool = False):
-    x = M.with_features(P.brand_px(spark, d))
-    return M.with_rsi(x) if rsi else x
+    """The feature table of the brand panel, built once per session."""
+    if rsi:
+        return P.shared(spark, d, "features_rsi", lambda: M.with_rsi(features(spark, d)))
+    return P.shared(spark, d, "features", lambda: M.with_features(P.brand_px(spark, d)))
 
 
 RECOVERY = ["R1_reclaim50", "R2_recovering_state", "R3_reclaim200", "R4_bounce_low", "R5_slope50_up", "STILL_WEAK"]
@@ -189,7 +191,7 @@ VARIANTS = [n for n in M.MASKS if n.startswith("V") and ("recover" in n.lower()
 
 @query("recovery_variants", "F14", study_sql([*FEAT_RSI, WEEKLY], VARIANTS, (63, 126), "f5", quantiles=True))
 def recovery_variants(spark, d):
-    x = M.with_weekly_trend(features(spark, d, rsi=True))
+    x = P.shared(spark, d, "features_weekly", lambda: M.with_weekly_trend(features(spark, d, rsi=True)))
     return S.run_study(x, M.columns(VARIANTS), (63, 126), quantiles=True)
 
 
@@ -312,7 +314,8 @@ PICK = ["ALL", "trend_template", "golden_cross", "oversold_in_uptrend", "top_rel
 
 
 def picking_panel(spark, d):
-    return M.with_relative(features(spark, d, True), P.market(P.type_px(spark, d)))
+    build = lambda: M.with_relative(features(spark, d, True), P.market(P.type_px(spark, d)))
+    return P.shared(spark, d, "features_rs", build)
 
 
 @query(

@@ -6,6 +6,7 @@ import os
 import tempfile
 import uuid
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -40,6 +41,25 @@ def shared_dir(spark: SparkSession) -> str:
     return made
 
 
+_KEPT: list[DataFrame] = []
+
+
+def keep(df: DataFrame) -> DataFrame:
+    """Persist an intermediate that a plan reads more than once.
+
+    Memory first, then disk; a lost executor's part is recomputed from lineage.
+    Besides the second computation this saves planning: readers see one leaf
+    instead of a copy of everything upstream."""
+    _KEPT.append(df.persist(StorageLevel.MEMORY_AND_DISK))
+    return df
+
+
+def release() -> None:
+    """Unpersist everything kept so far."""
+    while _KEPT:
+        _KEPT.pop().unpersist()
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Checkpoint into the shared folder, so a lost executor reruns nothing upstream."""
     sc = df.sparkSession.sparkContext
@@ -51,3 +71,14 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 def fresh_dir(spark: SparkSession, name: str) -> str:
     """A new folder below the shared one."""
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def as_table(df: DataFrame, name: str) -> DataFrame:
+    """Write a derived table once into the shared folder and read it back.
+
+    Readers get a pruned columnar scan and a short plan; after an executor loss
+    only the scan repeats, not the work upstream."""
+    spark = df.sparkSession
+    path = fresh_dir(spark, name)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
