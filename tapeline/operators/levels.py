@@ -260,31 +260,30 @@ def volume_shelf(df: DataFrame, window: int = 120, bins: int = 30, grid: int = 5
     """Bars with ``shelf``: the centre of the heaviest volume bin over the close,
     recomputed every ``grid`` bars and held for at most ``grid`` more.
 
-    A grid bar carries its own bounded window as an array, so the profile is
-    computed in the row and nothing is exploded or shuffled."""
+    A grid bar carries its bounded window; each bar of it is spread over just
+    the bins it touches and the profile is a hash aggregation by (symbol, grid
+    bar, bin).  Bars off the grid are dropped before anything is exploded."""
     past = w.trailing(window, 1)
     bar = F.struct("high", "low", F.coalesce("volume", F.lit(0.0)).alias("volume"))
     x = df.withColumns({"i": w.bar_no(), "__lo": F.min("low").over(past), "__hi": F.max("high").over(past)})
-    on_grid = (F.col("i") >= window) & ((F.col("i") - window) % grid == 0)
-    x = x.withColumn("__g", on_grid).withColumn("__bars", F.collect_list(bar).over(past))
-    width = (F.col("__hi") - F.col("__lo")) / float(bins)
-
-    def weight(b: Column, s: Column) -> Column:
-        lo = F.col("__lo") + width * b
-        span = s["high"] - s["low"]
-        overlap = F.greatest(F.least(lo + width, s["high"]) - F.greatest(lo, s["low"]), F.lit(0.0))
-        home = F.greatest(F.least(F.floor((s["high"] - F.col("__lo")) / width), F.lit(bins - 1)), F.lit(0))
-        return F.when(span > 0, s["volume"] * overlap / span).when(home == b, s["volume"]).otherwise(0.0)
-
-    def profile(b: Column) -> Column:
-        total = F.aggregate("__bars", F.lit(0.0), lambda acc, s: acc + weight(b, s))
-        return F.struct(total.alias("volume"), (-b).alias("order"), (F.col("__lo") + width * (b + 0.5)).alias("centre"))
-
-    cells = F.transform(F.sequence(F.lit(0), F.lit(bins - 1)), profile)
-    over = F.filter(cells, lambda s: (s["centre"] > F.col("close")) & (s["volume"] > 0))
-    shelf = F.when(F.col("__g") & (F.col("__hi") > F.col("__lo")), F.array_max(over)["centre"])
-    x = x.withColumn("__shelf", shelf)
-    return x.withColumn("shelf", F.last("__shelf", ignorenulls=True).over(w.by().rowsBetween(-grid, 0))).select(
+    on_grid = (F.col("i") >= window) & ((F.col("i") - window) % grid == 0) & (F.col("__hi") > F.col("__lo"))
+    a = x.withColumn("__bars", F.collect_list(bar).over(past)).where(on_grid)
+    a = a.withColumn("__w", (F.col("__hi") - F.col("__lo")) / float(bins)).select(
+        "symbol", "ts", "close", "__lo", "__w", F.inline("__bars").alias("h", "l", "v")
+    )
+
+    def home(p: Column) -> Column:
+        return F.greatest(F.least(F.floor((p - F.col("__lo")) / F.col("__w")), F.lit(bins - 1)), F.lit(0))
+
+    a = a.where(F.col("v") > 0).select("*", F.explode(F.sequence(home(F.col("l")), home(F.col("h")))).alias("b"))
+    edge = F.col("__lo") + F.col("__w") * F.col("b")
+    overlap = F.greatest(F.least(edge + F.col("__w"), F.col("h")) - F.greatest(edge, F.col("l")), F.lit(0.0))
+    part = F.when(F.col("h") > F.col("l"), F.col("v") * overlap / (F.col("h") - F.col("l"))).otherwise(F.col("v"))
+    centre = F.col("__lo") + F.col("__w") * (F.col("b") + 0.5)
+    g = a.where(centre > F.col("close")).groupBy("symbol", "ts", "b").agg(F.sum(part).alias("v"), F.max(centre).alias("c"))
+    g = g.where(F.col("v") > 0).groupBy("symbol", "ts").agg(F.max_by("c", F.struct(F.col("v"), -F.col("b"))).alias("__shelf"))
+    y = x.select(*df.columns, "i").join(g, ["symbol", "ts"], "left")
+    return y.withColumn("shelf", F.last("__shelf", ignorenulls=True).over(w.by().rowsBetween(-grid, 0))).select(
         *df.columns, "i", "shelf"
     )
 

@@ -40,7 +40,7 @@ def _holdings(spark, d):
     symbol = F.when(F.col("p_size") <= 25, F.col("p_type")).otherwise(F.col("p_brand"))
     q = F.when(F.col("l_returnflag") == "R", -F.col("l_quantity")).otherwise(F.col("l_quantity"))
     g = x.groupBy(account.alias("account"), symbol.alias("symbol")).agg(
-        F.sum(q).alias("shares"), (60 + 800 * F.avg("l_discount")).alias("avg_cost")
+        F.sum(q).alias("shares"), (60.37 + 800 * F.avg("l_discount")).alias("avg_cost")
     )
     return g.where(F.col("shares") > 0)
 
@@ -83,7 +83,7 @@ HOLD = [
     "ux AS MATERIALIZED (SELECT * FROM bpx UNION ALL SELECT * FROM tpx)",
     "pr AS (SELECT symbol, arg_max(close, ts) AS price FROM ux GROUP BY symbol)",
     """hd AS MATERIALIZED (SELECT * FROM (SELECT n_name || '/' || c_mktsegment AS account, CASE WHEN p_size <= 25 THEN p_type ELSE p_brand END AS symbol,
- sum(CASE WHEN l_returnflag = 'R' THEN -l_quantity ELSE l_quantity END) AS shares, 60 + 800 * avg(l_discount) AS avg_cost FROM lineitem JOIN part ON l_partkey = p_partkey
+ sum(CASE WHEN l_returnflag = 'R' THEN -l_quantity ELSE l_quantity END) AS shares, 60.37 + 800 * avg(l_discount) AS avg_cost FROM lineitem JOIN part ON l_partkey = p_partkey
  JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY 1, 2) WHERE shares > 0)""",
     "ac AS MATERIALIZED (SELECT n_name || '/' || c_mktsegment AS account, sum(c_acctbal) AS cash FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1)",
     """fh AS MATERIALIZED (SELECT p_type AS fund, p_brand AS underlying, 0.85 * sum(l_quantity) / sum(sum(l_quantity)) OVER (PARTITION BY p_type) AS weight FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1, 2)""",
