@@ -79,7 +79,10 @@ def bar_no(keys: str | Sequence[str] = KEY) -> Column:
 
 
 def n_bars(keys: str | Sequence[str] = KEY) -> Column:
-    return F.count(F.lit(1)).over(whole(keys))
+    """Bars of the symbol.  The full frame keeps the ordered specification, so
+    it shares the one sort with every other column."""
+    spec = by(keys).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    return F.count(F.lit(1)).over(spec)
 
 
 def bars_ago(keys: str | Sequence[str] = KEY) -> Column:
