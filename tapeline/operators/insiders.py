@@ -15,9 +15,8 @@ ROUTINE = ["A", "M", "F", "G"]
 
 def recent(tx: DataFrame, days: int = LOOKBACK_DAYS) -> DataFrame:
     """Transactions of the last ``days`` before the newest one."""
-    newest = tx.agg(F.max("ts").alias("__t"))
-    # one row
-    return tx.join(F.broadcast(newest), F.col("ts") >= F.col("__t") - F.expr(f"INTERVAL {days} DAYS")).drop("__t")
+    newest = tx.agg(F.max("ts")).scalar()
+    return tx.where(F.col("ts") >= newest - F.expr(f"INTERVAL {days} DAYS"))
 
 
 def summary(tx: DataFrame) -> DataFrame:

@@ -104,9 +104,8 @@ def recent_filings(spark, d):
     # a feed of several filings: one array set per order and issuer
     g = x.groupBy("issuer", "l_orderkey").agg(F.collect_list(row).alias("r"))
     idx = g.select("issuer", *[F.col("r")[c].alias(c) for c in ("form", "accessionNumber", "filingDate", "primaryDocument")])
-    newest = li.agg(F.max("l_shipdate").cast("timestamp").alias("t"))
-    # one row: the as-of date
-    return FD.recent_filings(idx.join(F.broadcast(newest), F.lit(True)), F.col("t")).select("issuer", "accession", "filing_date", "doc")
+    newest = li.agg(F.max("l_shipdate").cast("timestamp")).scalar()
+    return FD.recent_filings(idx, newest).select("issuer", "accession", "filing_date", "doc")
 
 
 @query(
@@ -125,9 +124,9 @@ def normalize_headlines(spark, d):
         title.alias("title"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm").alias("pubDate"), F.struct(F.lit("new wire").alias("displayName")).alias("provider"), F.struct(link.alias("url")).alias("canonicalUrl")
     ).alias("content")))
     old = F.to_json(F.struct(title.alias("title"), F.lit("old wire").alias("publisher"), link.alias("link"), F.unix_timestamp("ts").alias("providerPublishTime")))
-    newest = ev.agg(F.max("ts").alias("t"))
-    items = ev.select("event_type", "event_id", F.when(F.col("event_id") % 2 == 0, new).otherwise(old).alias("json")).join(F.broadcast(newest), F.lit(True))
-    return FD.headlines(items.select(F.col("event_type").alias("symbol"), F.col("event_id").alias("pos"), "json", "t"), F.col("t"))
+    newest = ev.agg(F.max("ts")).scalar()
+    items = ev.select("event_type", "event_id", F.when(F.col("event_id") % 2 == 0, new).otherwise(old).alias("json"))
+    return FD.headlines(items.select(F.col("event_type").alias("symbol"), F.col("event_id").alias("pos"), "json"), newest)
 
 
 @query(

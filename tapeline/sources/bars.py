@@ -98,15 +98,10 @@ def with_calendar(bars: DataFrame) -> DataFrame:
 def densify(bars: DataFrame, ffill: int = 0) -> DataFrame:
     """Panel mode: every symbol on every calendar date, NULL where it has no bar.
 
-    The result is symbols x dates by definition.  Dates travel as one array per
-    year, so the expansion is a row-local ``explode`` beside each symbol."""
-    dates = calendar(bars).groupBy(F.year("ts").alias("__y")).agg(F.collect_list("ts").alias("__d"))
-    grid = (
-        bars.select("symbol")
-        .distinct()
-        .join(F.broadcast(dates.withColumn("__all", F.lit(0))), F.lit(True))
-        .select("symbol", F.explode("__d").alias("ts"))
-    )
+    The result is symbols x dates by definition.  The dates are one scalar
+    array (a calendar, not data-sized), exploded beside each symbol."""
+    dates = calendar(bars).agg(F.collect_list("ts")).scalar()
+    grid = bars.select("symbol").distinct().select("symbol", F.explode(dates).alias("ts"))
     out = grid.join(bars, ["symbol", "ts"], "left")
     if ffill:
         spec = w.by().rowsBetween(-ffill, 0)
