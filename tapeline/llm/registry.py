@@ -2,16 +2,23 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 
 from tapeline.plans.registry import Query
 
-from . import quality
+from . import quality, simhash
 
 QUERIES: dict[str, Query] = {}
 
 
+ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    # Python workers import this package too, wherever the driver was started.
+    spark.sparkContext.environment.setdefault("PYTHONPATH", ROOT)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -20,3 +27,4 @@ def register(name: str, run, sql: str | None = None) -> None:
 
 
 register("op1_quality_rules", lambda spark, d: quality.quality_rules(table(spark, d, "documents")), quality.SQL)
+register("op8_simhash_dedup", lambda spark, d: simhash.near_duplicates(table(spark, d, "documents")))
