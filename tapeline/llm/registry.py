@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tapeline.plans.registry import Query
 
-from . import decontam, quality, simhash
+from . import bpe, decontam, quality, simhash
 
 QUERIES: dict[str, Query] = {}
 
@@ -29,3 +29,4 @@ def register(name: str, run, sql: str | None = None) -> None:
 register("op1_quality_rules", lambda spark, d: quality.quality_rules(table(spark, d, "documents")), quality.SQL)
 register("op8_simhash_dedup", lambda spark, d: simhash.near_duplicates(table(spark, d, "documents")))
 register("op2_decontamination", lambda spark, d: decontam.contamination(table(spark, d, "documents"), table(spark, d, "benchmark")), decontam.SQL)
+register("op5_byte_bpe", lambda spark, d: bpe.encode_digests(table(spark, d, "documents")))
