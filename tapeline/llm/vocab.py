@@ -129,8 +129,8 @@ def words_of(payload: bytes) -> pa.Array:
     return strings(data.astype(np.uint8), np.concatenate([[0], np.cumsum(lengths)]))
 
 
-def code_rows(docs: DataFrame, text_col: str, tokenise: Tokenise, buckets: int, keep: tuple[str, ...]) -> DataFrame:
-    """One row per block: its codes, tokens per row and bucket of each word; ``extra`` has the ``keep`` columns."""
+def code_rows(docs: DataFrame, text_col: str, tokenise: Tokenise, buckets: int, keep: tuple[str, ...], more: Callable[[Block], np.ndarray] | None = None) -> DataFrame:
+    """One row per block: its codes, tokens per row, bucket of each word (and what ``more`` gives); ``extra`` has the ``keep`` columns."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in blocks(batches, text_col, tokenise):
@@ -138,13 +138,13 @@ def code_rows(docs: DataFrame, text_col: str, tokenise: Tokenise, buckets: int,
             sink = pa.BufferOutputStream()
             with pa.ipc.new_stream(sink, kept.schema) as writer:
                 writer.write_batch(kept)
-            yield rows([b.key], [CODES], [pack(b.codes, b.counts, buckets_of(b.words, buckets))], [sink.getvalue().to_pybytes()])
+            yield rows([b.key], [CODES], [pack(b.codes, b.counts, buckets_of(b.words, buckets), *([more(b)] if more else []))], [sink.getvalue().to_pybytes()])
 
     return docs.select(*dict.fromkeys([*keep, text_col])).mapInArrow(run, ROW)
 
 
-#: The answers for a block, by bucket -> output columns, given (codes, tokens per row, order of the words by bucket).
-Assemble = Callable[[np.ndarray, np.ndarray, np.ndarray, list[bytes]], list[pa.Array]]
+#: (codes, tokens per row, order of the words by bucket, the answers for a block by bucket, what ``more`` gave) -> output columns.
+Assemble = Callable[..., list[pa.Array]]
 
 
 def reassemble(answers: DataFrame, codes: DataFrame, docs: DataFrame, keep: tuple[str, ...], fields: list[T.StructField], assemble: Callable[[], Assemble]) -> DataFrame:
@@ -163,11 +163,11 @@ def reassemble(answers: DataFrame, codes: DataFrame, docs: DataFrame, keep: tupl
                 if bucket != CODES:
                     answered[bucket] = payload
                     continue
-                ranks, counts, of = unpack(payload)
+                ranks, counts, of, *more = unpack(payload)
                 if sorted(answered) != np.unique(of).tolist():
                     raise ValueError("the words of a block are missing: the documents came in another order, store them first")
                 kept = pa.ipc.open_stream(extra).read_next_batch()
-                columns = make(ranks, counts, np.argsort(of, kind="stable"), [answered[k] for k in sorted(answered)])
+                columns = make(ranks, counts, np.argsort(of, kind="stable"), [answered[k] for k in sorted(answered)], *more)
                 yield pa.RecordBatch.from_arrays([*kept.columns, *columns], schema.names)
 
     both = answers.select(*ROW.names).union(codes.select(*ROW.names))
