@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tapeline.plans.registry import Query
 
-from . import bpe, decontam, lm, quality, simhash
+from . import bpe, decontam, lm, pii, quality, simhash
 
 QUERIES: dict[str, Query] = {}
 
@@ -31,3 +31,4 @@ register("op8_simhash_dedup", lambda spark, d: simhash.near_duplicates(table(spa
 register("op2_decontamination", lambda spark, d: decontam.contamination(table(spark, d, "documents"), table(spark, d, "benchmark")), decontam.SQL)
 register("op5_byte_bpe", lambda spark, d: bpe.encode_digests(table(spark, d, "documents")))
 register("op10_lm_scoring", lambda spark, d: lm.score_texts(table(spark, d, "documents")))
+register("op3_pii", lambda spark, d: pii.find(table(spark, d, "documents")))
