@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tapeline.plans.registry import Query
 
-from . import bpe, decontam, lm, pii, quality, secrets, simhash
+from . import bpe, classify, decontam, lm, pii, quality, secrets, simhash
 
 QUERIES: dict[str, Query] = {}
 
@@ -33,3 +33,4 @@ register("op5_byte_bpe", lambda spark, d: bpe.encode_digests(table(spark, d, "do
 register("op10_lm_scoring", lambda spark, d: lm.score_texts(table(spark, d, "documents")))
 register("op3_pii", lambda spark, d: pii.find(table(spark, d, "documents")))
 register("op7_secret_scan", lambda spark, d: secrets.scan(table(spark, d, "documents")))
+register("op6_quality_classifier", lambda spark, d: classify.quality(table(spark, d, "documents"), table(spark, d, "labels")))
