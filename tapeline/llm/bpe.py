@@ -163,7 +163,7 @@ def _hashes(data: np.ndarray, cuts: np.ndarray) -> pa.Array:
 
 
 DIGESTS = [T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())]
-IDS = [T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.BooleanType())]
+IDS = [T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded_sha256", T.StringType())]
 
 
 def _digests(path: str):
@@ -188,9 +188,13 @@ def _digests(path: str):
 
 def _lists(path: str):
     def start():
+        token_bytes, _ = _tables(path)
+
         def make(ranks, counts, order, answers) -> list[pa.Array]:
             ids, rows = _place(ranks, counts, order, answers)
-            return [pa.array(np.diff(rows)), pa.ListArray.from_arrays(pa.array(rows.astype(np.int32)), pa.array(ids.astype(np.int32)))]
+            text, at = _take(token_bytes, ids)
+            lists = pa.ListArray.from_arrays(pa.array(rows.astype(np.int32)), pa.array(ids.astype(np.int32)))
+            return [pa.array(np.diff(rows)), lists, _hashes(text, at[rows])]
 
         return make
 
@@ -219,9 +223,10 @@ def encode_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 
 def encode(docs: DataFrame, text_col: str = "text", path: str | None = None, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The ``keep`` columns, ``n_tokens`` and ``ids`` (array of int) of each document; null text has no ids."""
+    """The ``keep`` columns, ``n_tokens``, ``ids`` (array of int) and the digest of the decoded bytes of each document;
+    null text has no ids.  ``docs`` is a stored table."""
     path = path or default_path()
-    return _coded(docs, text_col, keep, path, IDS[:2], _lists(path))
+    return _coded(docs, text_col, keep, path, IDS, _lists(path))
 
 
 def decode(coded: DataFrame, ids_col: str = "ids", out_col: str = "text", path: str | None = None) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tapeline.plans.registry import Query
 
-from . import bpe, classify, decontam, extract, lm, pii, quality, secrets, simhash
+from . import bpe, classify, decontam, extract, lm, pii, quality, secrets, simhash, substrings
 
 QUERIES: dict[str, Query] = {}
 
@@ -35,3 +35,4 @@ register("op3_pii", lambda spark, d: pii.find(table(spark, d, "documents")))
 register("op7_secret_scan", lambda spark, d: secrets.scan(table(spark, d, "documents")))
 register("op6_quality_classifier", lambda spark, d: classify.quality(table(spark, d, "documents"), table(spark, d, "labels")))
 register("op4_html_extraction", lambda spark, d: extract.extract(table(spark, d, "pages")))
+register("op9_substring_dedup", lambda spark, d: substrings.repeated_units(table(spark, d, "documents")))

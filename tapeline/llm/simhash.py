@@ -99,12 +99,7 @@ def fingerprint(text: pa.Array) -> np.ndarray:
     data, offsets = flat(text)
     w = Words(LOWER[data], offsets, NOT_SPACE)
     lengths = w.ends - w.starts
-    last = np.ones(len(lengths), bool)
-    last[:-1] = w.row_of[1:] != w.row_of[:-1]
-    taken = w.inside.copy()
-    taken[w.ends[~last]] = True
-    joined = np.where(w.inside, w.data, np.uint8(32))[taken]
-    at = offsets_of(lengths + ~last)[:-1]
+    joined, at, _ = w.joined()
     n = np.where(w.counts >= SHINGLE, w.counts - SHINGLE + 1, np.minimum(w.counts, 1))
     row = np.repeat(np.arange(len(n)), n)
     first = w.rows[:-1][row] + np.arange(len(row)) - offsets_of(n)[:-1][row]

@@ -92,6 +92,15 @@ class Words:
         """All words in order, as one binary array."""
         return strings(self.data[self.inside], offsets_of(self.ends - self.starts))
 
+    def joined(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The words of each row with one blank between two; where each word begins there; which words end their row."""
+        last = np.ones(len(self.starts), bool)
+        last[:-1] = self.row_of[1:] != self.row_of[:-1]
+        taken = self.inside.copy()
+        taken[self.ends[~last]] = True
+        text = np.where(self.inside, self.data, np.uint8(32))[taken]
+        return text, offsets_of(self.ends - self.starts + ~last)[:-1], last
+
     def ids(self) -> tuple[np.ndarray, pa.Array]:
         """An id for each word, equal for equal words, and the words by id."""
         coded = self.array().dictionary_encode()
