@@ -1,6 +1,60 @@
-"""A training-data pipeline over ``documents``: rules, near-dedup, decontamination, secrets, tokens."""
+"""A training-data pipeline over ``documents``.
+
+Quality rules, SimHash near-dedup, benchmark decontamination, secret redaction,
+byte-level BPE.  Each stage works on all that the one before kept, written as
+Parquet and read again, so a lost executor repeats work of one stage only."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+
+from tapeline.llm import bpe, decontam, quality, secrets, simhash
+from tapeline.llm.registry import Query, table
+from tapeline.llm.tables import as_table
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Failing lines go; so do documents that fail the base rules or lose too much."""
+    return quality.clean(docs)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each near-duplicate group the document with the smallest id stays."""
+    return simhash.keep_first(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Contaminated documents go."""
+    return decontam.decontaminate(docs, table(spark, sf_dir, "benchmark"))
+
+
+def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secrets become a mark."""
+    return secrets.redact(docs)
+
+
+def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of each document, and the digest of what they decode to."""
+    return bpe.encode(docs, keep=("doc_id", "lang", "source"))
+
+
+STAGES = [
+    ("quality_rules", quality_rules),
+    ("near_dedup", near_dedup),
+    ("decontamination", decontamination),
+    ("secret_scan", secret_scan),
+    ("byte_bpe", byte_bpe),
+]
+
+#: SimHash and the forest are not expressible in SQL; tests/llm compares the stages with brute force.
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = as_table(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
+
+
+QUERIES = {"pipeline": Query("pipeline", "llm", run, ORACLE_SQL)}
