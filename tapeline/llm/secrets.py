@@ -30,7 +30,11 @@ MARK = "[SECRET]"
 _NAMES = r"password|passwd|pwd|passphrase|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|auth|credentials?|bearer"
 _KEY = r"A-Za-z0-9+/_\-"
 #: A run of key characters with a digit, or a shorter value behind a telling name.
-CANDIDATE = rf"(?<![{_KEY}])(?=[A-Za-z+/_\-]*+[0-9])[{_KEY}]{{16,}}+={{0,2}}|(?<=(?i:password|passwd|pwd|secret|token|api_key|apikey)[=:]{{1,2}}[\"' ]{{0,2}})[^\s\"',;<>]{{8,}}+"
+CANDIDATE = (
+    rf"(?<![{_KEY}])(?=[A-Za-z+/_\-]*+[0-9])[{_KEY}]{{16,}}+={{0,2}}"
+    # The short look behind spares most places the long one.
+    r"|(?<=[=:][\"' ]{0,2})(?<=(?i:password|passwd|pwd|secret|token|api_key|apikey)[=:]{1,2}[\"' ]{0,2})[^\s\"',;<>]{8,}+"
+)
 #: Words of names, paths and placeholders.
 DICTIONARY = (
     "password|example|sample|placeholder|changeme|secret|token|test|demo|dummy|your|here|insert|none|null|admin|user|name|value|default|config|"
