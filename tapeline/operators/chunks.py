@@ -73,9 +73,10 @@ def running_sum(df: DataFrame, c: str | Column, out: str, size: int = CHUNK) ->
 def ewm(df: DataFrame, c: str, alpha: float, out: str, size: int = 256) -> DataFrame:
     """Exponential mean per symbol spread over (symbol, chunk).
 
-    Chunk ends form a table ``size`` times smaller; the plain scan runs on it
-    with the decay of a whole chunk, and its result joins back as the carry."""
+    Chunk ends form a table ``size`` times smaller; the carry of the plain scan
+    runs on it with the decay of a whole chunk and joins back."""
     q = 1.0 - alpha
+    size = min(size, scan.chunk_length([alpha]))
     keep = df.columns if "i" in df.columns else [*df.columns, "i"]
     x = df if "i" in df.columns else with_ordinal(df)
     x = x.withColumns({"__c": F.floor(F.col("i") / size), "__k": (F.col("i") % size).cast("double")})
@@ -83,14 +84,7 @@ def ewm(df: DataFrame, c: str, alpha: float, out: str, size: int = 256) -> DataF
     inside = Window.partitionBy("symbol", "__c").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
     x = x.withColumn("__l", F.sum(u * F.pow(F.lit(q), -F.col("__k"))).over(inside) * F.pow(F.lit(q), F.col("__k")))
     ends = x.where(F.col("__k") == size - 1).select("symbol", "__c", "__l")
-    ordered = Window.partitionBy("symbol").orderBy("__c")
-    past = F.collect_list("__l").over(ordered.rowsBetween(-64, 0))
-    # q**size per step: terms beyond 64 chunks are below double precision or
-    # covered by the plain scan when they are not
-    if q ** (size * 64) < 1e-18:
-        carried = F.aggregate(past, F.lit(0.0), lambda acc, e: acc * F.lit(q**size) + e)
-        ends = ends.select("symbol", (F.col("__c") + 1).alias("__c"), carried.alias("__b"))
-    else:
-        return scan.ewm(df, {out: (c, alpha)})
+    ends = scan.carried(ends, "__l", "__c", q**size, "__b", ["symbol"], "__c")
+    ends = ends.select("symbol", (F.col("__c") + 1).alias("__c"), (F.col("__l") + F.col("__b") * F.lit(q**size)).alias("__b"))
     y = x.join(ends, ["symbol", "__c"], "left")
     return y.withColumn(out, F.col("__l") + F.coalesce("__b", F.lit(0.0)) * F.pow(F.lit(q), F.col("__k") + 1.0)).select(*keep, out)

@@ -94,9 +94,16 @@ def move_attribution(df: DataFrame, big: float = 0.025, k: int = 3) -> DataFrame
 
 def keep_spaced(events: DataFrame, keys: Sequence[str], at: str, gap: int, payload: Sequence[str] = ()) -> DataFrame:
     """Greedy de-overlap: keep an event only if more than ``gap`` after the last
-    kept one.  A fold over one key's candidate events (bounded by the calendar)."""
+    kept one.
+
+    An event more than ``gap`` after its predecessor is kept whatever came
+    before, so events between two such gaps form an island that is folded alone."""
     item = F.struct(F.col(at).cast("long").alias("__k"), *payload)
-    e = events.groupBy(*keys).agg(F.array_sort(F.collect_list(item)).alias("__e"))
+    order = Window.partitionBy(*keys).orderBy("__at")
+    x = events.withColumn("__at", F.col(at).cast("long"))
+    x = x.withColumn("__new", (F.col("__at") - F.lag("__at").over(order) > gap).cast("int"))
+    x = x.withColumn("__island", F.sum(F.coalesce("__new", F.lit(0))).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    e = x.groupBy(*keys, "__island").agg(F.array_sort(F.collect_list(item)).alias("__e"))
     kind = events.select(F.array(item).alias("k")).schema["k"].dataType
 
     def step(acc: Column, x: Column) -> Column:

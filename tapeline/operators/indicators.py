@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import functions as F
 
 from ..functions import scan
@@ -209,7 +209,11 @@ def base_range(n: int, shift: int = 0, c: str = "close") -> Column:
 def cum_return(r: str | Column) -> Column:
     """Compounded growth of simple returns: exp of summed logs, a return of
     -100% or worse pins the product at 0."""
-    r = F.coalesce(w.col(r), F.lit(0.0))
-    dead = F.max((r <= -1.0).cast("int")).over(w.history())
-    grown = F.exp(F.sum(F.log1p(F.when(r > -1.0, r).otherwise(0.0))).over(w.history()))
+    return compounded(F.coalesce(w.col(r), F.lit(0.0)), w.history())
+
+
+def compounded(r: Column, spec: WindowSpec) -> Column:
+    """The product of ``1 + r`` over a window; a total loss leaves 0 for good."""
+    dead = F.max((r <= -1.0).cast("int")).over(spec)
+    grown = F.exp(F.sum(F.log1p(F.when(r > -1.0, r).otherwise(0.0))).over(spec))
     return F.when(dead == 1, F.lit(0.0)).otherwise(grown)

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .. import schemas
+from .. import schemas, session
 from ..functions import stats
 from ..functions import windows as w
 from . import joins
@@ -65,14 +65,30 @@ def log_signals(new: DataFrame, ledger: DataFrame | None = None) -> DataFrame:
     return one if ledger is None else one.join(ledger.select(*KEY), KEY, "left_anti")
 
 
+def _exists(spark, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
 def append(new: DataFrame, path: str) -> None:
-    """Append to the partitioned ledger table, exactly once per key."""
+    """Append to the ledger table at ``path``, one folder per month, exactly once per key.
+
+    The months that get rows are put together with what they hold, staged in the
+    shared folder, and replace their folders; a repeated or retried call writes
+    the same rows again.  Only a missing path counts as an empty ledger, any
+    other failure to read is an error.  One writer at a time."""
     spark = new.sparkSession
-    try:
-        old = spark.read.parquet(path).select(*schemas.LEDGER.fieldNames())
-    except Exception:  # no table yet
-        old = None
-    log_signals(new, old).withColumn("month", F.date_format("ts", "yyyy-MM")).write.mode("append").partitionBy("month").parquet(path)
+    fields = schemas.LEDGER.fieldNames()
+    fresh = new.select(*fields).withColumn("month", F.date_format("ts", "yyyy-MM"))
+    if _exists(spark, path):
+        months = [r.month for r in fresh.select("month").distinct().collect()]
+        old = spark.read.schema(schemas.LEDGER).option("basePath", path).parquet(path).withColumn("month", F.date_format("ts", "yyyy-MM"))
+        old = old.where(F.col("month").isin(months))
+        fresh = old.select(*fields, "month").unionByName(log_signals(new.select(*fields), old.select(*fields)).withColumn("month", F.date_format("ts", "yyyy-MM")))
+    else:
+        fresh = log_signals(new.select(*fields)).withColumn("month", F.date_format("ts", "yyyy-MM"))
+    staged = session.as_table(fresh, "ledger_months")
+    staged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("month").parquet(path)
 
 
 def score_forward(ledger: DataFrame, bars: DataFrame, benchmark: DataFrame, horizons=HORIZONS) -> DataFrame:

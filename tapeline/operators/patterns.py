@@ -15,12 +15,12 @@ from .. import session
 from ..functions import windows as w
 
 ORDER = 5
-CHART = 260
 
 
-def chart_tail(df: DataFrame, bars: int = CHART) -> DataFrame:
-    """The newest ``bars`` bars with a chart-local ordinal ``x`` and length."""
-    d = df.withColumn("__a", w.bars_ago()).where(F.col("__a") < bars).drop("__a")
+def chart_tail(df: DataFrame, bars: int | None = None) -> DataFrame:
+    """Bars with their ordinal ``x`` and the length ``n``: the whole frame, or
+    the newest ``bars`` of it where the caller asks for a chart window."""
+    d = df if bars is None else df.withColumn("__a", w.bars_ago()).where(F.col("__a") < bars).drop("__a")
     return session.keep(d.withColumns({"x": w.bar_no(), "n": w.n_bars()}))
 
 
@@ -38,7 +38,7 @@ def swing_extrema(df: DataFrame, k: int = ORDER) -> DataFrame:
     return x.where(F.col("kind").isNotNull()).select("symbol", "ts", "x", "n", "kind", c.alias("price"))
 
 
-def support_resistance(df: DataFrame, k: int = ORDER, max_levels: int = 4, bars: int = CHART) -> DataFrame:
+def support_resistance(df: DataFrame, k: int = ORDER, max_levels: int = 4, bars: int | None = None) -> DataFrame:
     """Swing prices clustered within 2% of the chart's span (a price joins the
     last cluster when near its running mean), split by the newest close and
     numbered from the nearest."""
@@ -127,7 +127,7 @@ def _reversals(ext: DataFrame, tol: Column) -> DataFrame:
     return e.select("symbol", "x", F.inline(F.filter(F.array(*rows), lambda r: r.isNotNull())))
 
 
-def reversals(df: DataFrame, k: int = ORDER, bars: int = CHART) -> DataFrame:
+def reversals(df: DataFrame, k: int = ORDER, bars: int | None = None) -> DataFrame:
     """Every reversal of the chart before de-overlap."""
     d = chart_tail(df, bars)
     d = d.withColumn("__span", F.max("close").over(w.whole()) - F.min("close").over(w.whole()))
@@ -139,7 +139,7 @@ def reversals(df: DataFrame, k: int = ORDER, bars: int = CHART) -> DataFrame:
     return r.withColumns({"lo": F.col("points")[0]["ts"], "hi": F.col("points")[2]["ts"]})
 
 
-def triangles(df: DataFrame, k: int = ORDER, bars: int = CHART) -> DataFrame:
+def triangles(df: DataFrame, k: int = ORDER, bars: int | None = None) -> DataFrame:
     """Ascending, descending and symmetrical triangles from the slopes of the
     swing highs and lows in the last 45% of the chart."""
     d = chart_tail(df, bars)
@@ -187,7 +187,7 @@ def drop_overlaps(found: DataFrame, limit: int = 5) -> DataFrame:
     return e.select("symbol", F.inline(kept)).drop("o")
 
 
-def chart_patterns(df: DataFrame, k: int = ORDER, bars: int = CHART, limit: int = 6) -> DataFrame:
+def chart_patterns(df: DataFrame, k: int = ORDER, bars: int | None = None, limit: int = 6) -> DataFrame:
     """De-overlapped reversals and triangles, newest ``limit`` per symbol."""
     rev = drop_overlaps(reversals(df, k, bars)).select("symbol", "rank", "x", "name", "bias", "points", "hi")
     tri = triangles(df, k, bars).select(

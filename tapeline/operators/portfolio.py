@@ -210,7 +210,7 @@ def portfolio_drawdown(returns: DataFrame, min_returns: int = 60) -> DataFrame:
     """Worst drop of the compounded path, its peak and trough, and the first
     date the old peak was regained."""
     h = Window.partitionBy("account").orderBy("ts").rowsBetween(Window.unboundedPreceding, 0)
-    x = returns.withColumn("eq", F.exp(F.sum(F.log1p("ret")).over(h)))
+    x = returns.withColumn("eq", I.compounded(F.col("ret"), h))
     x = x.withColumns({"peak": F.max("eq").over(h), "n": F.count(F.lit(1)).over(Window.partitionBy("account"))})
     x = x.where(F.col("n") >= min_returns).withColumn("dd", F.col("eq") / F.col("peak") - 1.0)
     low = x.groupBy("account").agg(F.min(F.struct("dd", "ts", "peak")).alias("t"), F.max("n").alias("n"))

@@ -20,6 +20,7 @@ from . import volume as VOL
 
 COMPONENTS = ["trend", "multi_timeframe", "regime", "rsi", "macd", "template", "candles", "volume", "relative_strength"]
 HORIZONS = (5, 20, 60)
+# fixed value: the study reads its trend over a chart of so many bars
 CHART = 260
 
 

@@ -68,8 +68,15 @@ def with_exit(df: DataFrame) -> DataFrame:
 
 def non_overlapping(entries: DataFrame) -> DataFrame:
     """Greedy pick per symbol: the next entry must come after the last exit; an
-    entry still open at the end blocks later ones and is not reported."""
-    e = entries.groupBy("symbol").agg(F.array_sort(F.collect_list(F.struct("i", "held", "ret"))).alias("__e"))
+    entry still open at the end blocks later ones and is not reported.
+
+    An entry after the exits of all earlier candidates is taken whatever came
+    before: such entries begin islands, and each island is folded alone."""
+    order = Window.partitionBy("symbol").orderBy("i")
+    exits = F.coalesce(F.col("i") + F.col("held"), F.lit(2**62))
+    x = entries.withColumn("__past", F.max(exits).over(order.rowsBetween(Window.unboundedPreceding, -1)))
+    x = x.withColumn("__island", F.sum((F.col("i") > F.col("__past")).cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    e = x.groupBy("symbol", F.coalesce("__island", F.lit(0)).alias("__island")).agg(F.array_sort(F.collect_list(F.struct("i", "held", "ret"))).alias("__e"))
     zero = F.struct(
         F.lit(-1).cast("long").alias("free"),
         F.array().cast("array<struct<i:bigint,held:bigint,ret:double>>").alias("done"),
@@ -211,7 +218,7 @@ RULES = ["hold", "filter200", "golden", "channel", "rsi2_dip"]
 def equity_stats(rows: DataFrame, keys: list[str], r: str = "sr", exposure: str = "pos") -> DataFrame:
     """Total return, worst drawdown, Sharpe and exposure of ordered returns."""
     spec = Window.partitionBy(*keys).orderBy("ts").rowsBetween(Window.unboundedPreceding, 0)
-    x = rows.withColumn("__eq", F.exp(F.sum(F.log1p(F.coalesce(F.col(r), F.lit(0.0)))).over(spec)))
+    x = rows.withColumn("__eq", I.compounded(F.coalesce(F.col(r), F.lit(0.0)), spec))
     x = x.withColumn("__dd", F.col("__eq") / F.max("__eq").over(spec) - 1.0)
     z = F.coalesce(F.col(r), F.lit(0.0))
     return x.groupBy(*keys).agg(

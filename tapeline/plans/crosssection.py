@@ -234,9 +234,9 @@ SCORED = [
 ]
 
 
-@query("setup_score", "E15", P.with_(*SCORED, recursive=True) + "SELECT symbol, ts, score FROM sc WHERE score > 0")
+@query("setup_score", "E15", P.with_(*SCORED, recursive=True) + "SELECT symbol, ts, score FROM sc")
 def setup_score(spark, d):
-    return scored(spark, d).where("score > 0").select("symbol", "ts", "score")
+    return scored(spark, d).select("symbol", "ts", "score")
 
 
 @query(

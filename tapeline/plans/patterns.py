@@ -10,7 +10,7 @@ from .indicators import WS
 from .registry import query
 
 PX = P.px_sql("type")
-CHART = "ch AS MATERIALIZED (SELECT symbol, ts, close, i - greatest(n - 260, 0) AS x, least(n, 260) AS nn FROM px WHERE n - i <= 260)"
+CHART = "ch AS MATERIALIZED (SELECT symbol, ts, close, i AS x, n AS nn FROM px)"
 _A = f"OVER ({WS} ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING)"
 _B = f"OVER ({WS} ROWS BETWEEN 1 FOLLOWING AND 5 FOLLOWING)"
 EXT = f"""ext AS MATERIALIZED (SELECT * FROM (SELECT symbol, ts, x, nn, close AS price, CASE WHEN count(*) {_A} = 5 AND count(*) {_B} = 5 THEN
