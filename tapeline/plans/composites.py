@@ -17,7 +17,7 @@ from .crosssection import PULSE, SEC_SQL, sector_px
 from .evaluations import candle_ctes
 from .indicators import ALL_CTES, WS, full, numbered
 from .levels import LV, PV, RES
-from .patterns import CHART, EXT as SWING, LEVELS
+from .patterns import CHART, EXT as SWING, LEVELS, PATTERNS
 from .registry import query
 from .regimes import AGE, ALIGN, BENCH, CROSS_CTES, EXT, GAPS, MTF, REGIME, RS_SQL, TEMPLATE, at
 
@@ -211,30 +211,39 @@ def posture_frame(spark, d):
     return CO.posture_score(posture(spark, d))
 
 
-@query("posture_score", "E24")
+POSTURE_SQL = [
+    *FACTS_BASE,
+    *PATTERNS,
+    "pt AS (SELECT symbol, CASE WHEN s > 0.05 THEN 1.0 WHEN s < -0.05 THEN -1.0 ELSE 0.0 END * (0.5 + 0.5 * r2) AS trend FROM (SELECT symbol, 100 * regr_slope(close, x) / avg(close) AS s, regr_r2(close, x) AS r2 FROM ch GROUP BY 1))",
+    "vv AS (SELECT symbol, sum(CASE WHEN name = 'Breakout on Volume' THEN 0.6 WHEN name = 'Breakdown on Volume' THEN -0.6 WHEN name = 'Volume Spike' AND bias = 'bullish' THEN 0.2 WHEN name = 'Volume Spike' THEN -0.2 ELSE 0 END) AS v FROM vrec WHERE pos <= 3 GROUP BY 1)",
+    *candle_ctes("brand")[3:],
+    "ce AS (SELECT cd.symbol, sum(CASE cd.bias WHEN 'bullish' THEN 1.0 WHEN 'bearish' THEN -1.0 ELSE 0.0 END * (0.4 + 2 * greatest(0, coalesce(edge, 0))) * (1 - 0.3 * (pos - 1))) / sum(1 - 0.3 * (pos - 1)) AS c FROM cd LEFT JOIN cb ON cb.symbol = cd.symbol AND cb.name = cd.name AND cb.bias = cd.bias AND cb.horizon = 10 WHERE pos <= 3 GROUP BY 1)",
+    "pc AS (SELECT symbol, sum(CASE bias WHEN 'bullish' THEN 1.0 WHEN 'bearish' THEN -1.0 ELSE 0.0 END) / 3.0 AS p FROM pat WHERE pos <= 3 GROUP BY 1)",
+    """po AS MATERIALIZED (SELECT symbol, CAST(trend AS DOUBLE) AS trend, (al.ups - al.downs) / al.horizons AS multi_timeframe, CASE WHEN reg."cross" IS NOT NULL THEN CAST(CASE WHEN reg.above_sma200 THEN 0.5 ELSE -0.5 END + CASE WHEN reg."cross" = 'golden' THEN 0.5 ELSE -0.5 END AS DOUBLE) END AS regime,
+ CAST(CASE WHEN rsi >= 70 THEN -0.6 WHEN rsi <= 30 THEN 0.6 ELSE (rsi - 50) / 40 * 0.4 END AS DOUBLE) AS rsi, CAST(CASE WHEN macd > macd_signal THEN 0.6 ELSE -0.6 END AS DOUBLE) AS macd,
+ CASE WHEN tmpl.available THEN CASE WHEN tmpl.stage = 4 THEN least((score - 4) / 4.0::DOUBLE, -0.5) WHEN tmpl.stage = 2 THEN greatest((score - 4) / 4.0::DOUBLE, 0.5) ELSE (score - 4) / 4.0::DOUBLE END END AS template,
+ CAST(c AS DOUBLE) AS candles, CAST(coalesce(v, 0) AS DOUBLE) AS volume, CAST(p AS DOUBLE) AS patterns, rstr.value AS relative_strength FROM li JOIN pt USING (symbol) LEFT JOIN al USING (symbol) LEFT JOIN reg USING (symbol)
+ LEFT JOIN tmpl USING (symbol) LEFT JOIN ce USING (symbol) LEFT JOIN vv USING (symbol) LEFT JOIN pc USING (symbol) LEFT JOIN rstr USING (symbol))""",
+]
+_WEIGHED = " UNION ALL ".join(f"SELECT symbol, least(1.0, greatest(-1.0, {n})) AS v, {wt}::DOUBLE AS w FROM po WHERE {n} IS NOT NULL" for n, wt in CO.POSTURE_WEIGHTS.items())
+SCORE_POSTURE = [
+    f"pv AS ({_WEIGHED})",
+    "pm AS (SELECT symbol, sum(v * w) / sum(w) AS m FROM pv GROUP BY 1)",
+    "ps AS (SELECT symbol, any_value(m) AS m, sqrt(sum(w * (v - m) * (v - m)) / sum(w)) AS s, count(*) AS n_components FROM pv JOIN pm USING (symbol) GROUP BY 1)",
+    """pf AS MATERIALIZED (SELECT symbol, 100 * m AS score, greatest(-100.0, 100 * m - least(100 * s, 100.0)) AS low, least(100.0, 100 * m + least(100 * s, 100.0)) AS high,
+ greatest(0.0, least(100.0, (1 - s) * 100)) AS confidence, CASE WHEN 100 * m >= 50 THEN 'strongly_bullish' WHEN 100 * m >= 20 THEN 'bullish' WHEN 100 * m <= -50 THEN 'strongly_bearish'
+ WHEN 100 * m <= -20 THEN 'bearish' ELSE 'neutral' END AS posture, CASE WHEN 100 * m >= 20 THEN 'BUY' WHEN 100 * m <= -20 THEN 'SELL' ELSE 'HOLD' END AS verdict, n_components FROM ps)""",
+]
+
+
+@query("posture_score", "E24", P.with_(*POSTURE_SQL, *SCORE_POSTURE, recursive=True) + "SELECT * FROM pf")
 def posture_score(spark, d):
     return posture_frame(spark, d)
 
 
-@query(
-    "posture_components",
-    "E24",
-    P.with_(
-        *FACTS_BASE,
-        "pt AS (SELECT symbol, CASE WHEN s > 0.05 THEN 1.0 WHEN s < -0.05 THEN -1.0 ELSE 0.0 END * (0.5 + 0.5 * r2) AS trend FROM (SELECT symbol, 100 * regr_slope(close, x) / avg(close) AS s, regr_r2(close, x) AS r2 FROM ch GROUP BY 1))",
-        "vv AS (SELECT symbol, sum(CASE WHEN name = 'Breakout on Volume' THEN 0.6 WHEN name = 'Breakdown on Volume' THEN -0.6 WHEN name = 'Volume Spike' AND bias = 'bullish' THEN 0.2 WHEN name = 'Volume Spike' THEN -0.2 ELSE 0 END) AS v FROM vrec WHERE pos <= 3 GROUP BY 1)",
-        *candle_ctes("brand")[3:],
-        "ce AS (SELECT cd.symbol, sum(CASE cd.bias WHEN 'bullish' THEN 1.0 WHEN 'bearish' THEN -1.0 ELSE 0.0 END * (0.4 + 2 * greatest(0, coalesce(edge, 0))) * (1 - 0.3 * (pos - 1))) / sum(1 - 0.3 * (pos - 1)) AS c FROM cd LEFT JOIN cb ON cb.symbol = cd.symbol AND cb.name = cd.name AND cb.bias = cd.bias AND cb.horizon = 10 WHERE pos <= 3 GROUP BY 1)",
-        recursive=True,
-    )
-    + """SELECT symbol, CAST(trend AS DOUBLE) AS trend, (al.ups - al.downs) / al.horizons AS multi_timeframe, CASE WHEN reg."cross" IS NOT NULL THEN CAST(CASE WHEN reg.above_sma200 THEN 0.5 ELSE -0.5 END + CASE WHEN reg."cross" = 'golden' THEN 0.5 ELSE -0.5 END AS DOUBLE) END AS regime,
- CAST(CASE WHEN rsi >= 70 THEN -0.6 WHEN rsi <= 30 THEN 0.6 ELSE (rsi - 50) / 40 * 0.4 END AS DOUBLE) AS rsi, CAST(CASE WHEN macd > macd_signal THEN 0.6 ELSE -0.6 END AS DOUBLE) AS macd,
- CASE WHEN tmpl.available THEN CASE WHEN stage = 4 THEN least((score - 4) / 4.0::DOUBLE, -0.5) WHEN stage = 2 THEN greatest((score - 4) / 4.0::DOUBLE, 0.5) ELSE (score - 4) / 4.0::DOUBLE END END AS template,
- CAST(c AS DOUBLE) AS candles, CAST(coalesce(v, 0) AS DOUBLE) AS volume, rstr.value AS relative_strength FROM li JOIN pt USING (symbol) LEFT JOIN al USING (symbol) LEFT JOIN reg USING (symbol)
- LEFT JOIN tmpl USING (symbol) LEFT JOIN ce USING (symbol) LEFT JOIN vv USING (symbol) LEFT JOIN rstr USING (symbol)""".replace("stage = 4", "tmpl.stage = 4").replace("stage = 2", "tmpl.stage = 2"),
-)
+@query("posture_components", "E24", P.with_(*POSTURE_SQL, recursive=True) + "SELECT * FROM po")
 def posture_components(spark, d):
-    return posture(spark, d).drop("patterns")
+    return posture(spark, d)
 
 
 LATEST_PULSE = "lp AS (SELECT symbol, arg_max(event, ts) AS event, arg_max(coalesce(event, '-'), ts) AS ev FROM pu GROUP BY 1)"
@@ -366,7 +375,14 @@ def alert_rules(spark, d):
     return CO.alert_rules(rules, s)
 
 
-@query("alert_rules_posture", "E30")
+@query(
+    "alert_rules_posture",
+    "E30",
+    P.with_(*POSTURE_SQL, *SCORE_POSTURE, "al_(type, value) AS (VALUES " + ", ".join(f"('{t}', {v}::DOUBLE)" for t, v in ALERTS) + ")", recursive=True)
+    + """SELECT type || ':' || symbol AS rule_id, symbol, type, value, coalesce(CASE type WHEN 'rsi_below' THEN rsi < value WHEN 'rsi_above' THEN rsi > value WHEN 'price_below' THEN close < value WHEN 'price_above' THEN close > value
+ WHEN 'confidence_above' THEN confidence > value WHEN 'verdict_buy' THEN verdict = 'BUY' WHEN 'verdict_sell' THEN verdict = 'SELL'
+ WHEN 'stage2' THEN passes OR stage = 2 WHEN 'golden' THEN crs = 'golden' WHEN 'death' THEN crs = 'death' END, false) AS fired FROM fa LEFT JOIN pf USING (symbol), al_""",
+)
 def alert_rules_posture(spark, d):
     p = posture_frame(spark, d).select("symbol", "confidence", "verdict")
     s = snapshot(spark, d).join(p, "symbol", "left")
