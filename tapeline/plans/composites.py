@@ -20,6 +20,7 @@ from .levels import LV, PV, RES
 from .patterns import CHART, EXT as SWING, LEVELS, PATTERNS
 from .registry import query
 from .regimes import AGE, ALIGN, BENCH, CROSS_CTES, EXT, GAPS, MTF, REGIME, RS_SQL, TEMPLATE, at
+from .trades import DIP_STATE
 
 PX = P.px_sql("brand")
 AS_OF = "1999-06-01"
@@ -111,10 +112,13 @@ CONV = [
     "ix AS (SELECT symbol, cluster, CASE WHEN b > 0 AND b >= s THEN 'buying' WHEN s > 0 AND s > b THEN 'selling' ELSE 'routine' END AS sig FROM iw)",
     """cv0 AS (SELECT symbol, CASE WHEN rstr.outperforming THEN 2 ELSE 0 END AS mb, CASE WHEN NOT rstr.outperforming THEN 2 ELSE 0 END AS mr, CASE WHEN available AND passes THEN 1 ELSE 0 END AS tb,
  CASE WHEN available AND NOT passes AND stage <> 2 THEN 1 ELSE 0 END AS tr, CASE WHEN coalesce(cluster, false) OR coalesce(sig = 'buying', false) THEN 2 ELSE 0 END AS ib,
- CASE WHEN NOT (coalesce(cluster, false) OR coalesce(sig = 'buying', false)) AND coalesce(sig = 'selling', false) THEN 1 ELSE 0 END AS inn, CASE WHEN hot_runup THEN 1 ELSE 0 END AS ca, CASE WHEN cro.state IN ('buy', 'sell') THEN 1 ELSE 0 END AS xc
+ CASE WHEN NOT (coalesce(cluster, false) OR coalesce(sig = 'buying', false)) AND coalesce(sig = 'selling', false) THEN 1 ELSE 0 END AS inn, CASE WHEN hot_runup THEN 1 ELSE 0 END AS ca, CASE WHEN cro.state IN ('buy', 'sell') THEN 1 ELSE 0 END AS xc, cro.state AS xs
  FROM tmpl FULL JOIN rstr USING (symbol) FULL JOIN ix USING (symbol) FULL JOIN rn USING (symbol) FULL JOIN cro USING (symbol))""",
     """cv AS MATERIALIZED (SELECT symbol, mb + mr + tb + tr + ib + inn + ca + xc > 0 AS available, CAST((mb > 0)::INT + (tb > 0)::INT + (ib > 0)::INT AS BIGINT) AS aligned, CAST(mb + tb + ib - mr - tr - ca AS BIGINT) AS net, (mb > 0)::INT + (ib > 0)::INT AS sb, mb + tb + ib AS bull, mr + tr AS bear,
- CAST((mb > 0)::INT + (mr > 0)::INT + (tb > 0)::INT + (tr > 0)::INT + (ib > 0)::INT + inn + ca + xc AS BIGINT) AS n_components, ca > 0 AS caution FROM cv0)""",
+ CAST((mb > 0)::INT + (mr > 0)::INT + (tb > 0)::INT + (tr > 0)::INT + (ib > 0)::INT + inn + ca + xc AS BIGINT) AS n_components, ca > 0 AS caution,
+ concat_ws(',', CASE WHEN mb > 0 THEN 'momentum:strong:bullish:2' END, CASE WHEN mr > 0 THEN 'momentum:strong:bearish:2' END, CASE WHEN tb > 0 THEN 'trend_stage:moderate:bullish:1' END, CASE WHEN tr > 0 THEN 'trend_stage:moderate:bearish:1' END,
+ CASE WHEN ib > 0 THEN 'insider_buying:strong:bullish:2' END, CASE WHEN inn > 0 THEN 'insider_activity:weak:neutral:0' END, CASE WHEN ca > 0 THEN 'earnings_runup:moderate:caution:1' END,
+ CASE WHEN xs = 'buy' THEN 'crossover:weak:bullish:0' WHEN xs = 'sell' THEN 'crossover:weak:bearish:0' END) AS components FROM cv0)""",
 ]
 
 
@@ -123,10 +127,12 @@ CONV = [
     "E23",
     P.with_(*CONV, recursive=True)
     + """SELECT symbol, available, CASE WHEN aligned >= 2 AND sb >= 1 AND bear = 0 THEN 'high_bull' WHEN net <= -2 THEN 'bear' WHEN bull = 0 AND bear = 0 THEN 'none' ELSE 'mixed' END AS verdict,
- CASE WHEN aligned >= 2 AND sb >= 1 AND bear = 0 THEN 'up' WHEN net <= -2 THEN 'down' END AS direction, aligned, net, n_components, caution FROM cv""",
+ CASE WHEN aligned >= 2 AND sb >= 1 AND bear = 0 THEN 'up' WHEN net <= -2 THEN 'down' END AS direction, aligned, net, n_components, caution, components FROM cv""",
 )
 def conviction_stack(spark, d):
-    return conviction_frame(spark, d).drop("components")
+    c = conviction_frame(spark, d)
+    listed = F.transform("components", lambda x: F.concat_ws(":", x["name"], x["strength"], x["state"], x["weight"].cast("string")))
+    return c.withColumn("components", F.array_join(listed, ","))
 
 
 # every latest read the composites need; ALL_CTES brings the bars as ``b``
@@ -257,7 +263,17 @@ def latest_pulse(spark, d):
     return g.select("symbol", F.when(F.col("event") != "-", F.col("event")).alias("event"))
 
 
-@query("buy_checklist", "E27")
+CHECKLIST = """SELECT symbol, 'long_term_trend' AS factor, CASE WHEN uptrend THEN 'good' ELSE 'bad' END AS status FROM res WHERE uptrend IS NOT NULL
+ UNION ALL SELECT res.symbol, 'dip_signal', CASE WHEN dip_active THEN 'good' ELSE 'info' END FROM res JOIN dst USING (symbol)
+ UNION ALL SELECT res.symbol, 'sector_context', CASE WHEN ev = 'broad_selloff' THEN 'warn' ELSE 'info' END FROM res JOIN lp USING (symbol) WHERE ev <> '-'
+ UNION ALL SELECT res.symbol, 'stretch', CASE WHEN exs.state IN ('extended', 'blowoff', 'stretched_below') THEN 'warn' ELSE 'good' END FROM res JOIN exs USING (symbol) WHERE exs.state <> 'normal'
+ UNION ALL SELECT res.symbol, 'earnings_risk', CASE WHEN hot_runup THEN 'bad' ELSE 'warn' END FROM res JOIN rn USING (symbol) WHERE soon
+ UNION ALL SELECT res.symbol, 'street_consensus', 'info' FROM res JOIN cs USING (symbol)
+ UNION ALL SELECT res.symbol, 'opening_gap', 'info' FROM res JOIN gd USING (symbol) WHERE gd.age = 0 AND gd.n >= 121 AND gd.direction IS NOT NULL AND gd.symbol IN (SELECT symbol FROM gs)"""
+CHECKED = P.with_(numbered(PX, "px"), *DIP_STATE, AGE, PV, LV, RES, EXT, GAPS, *CONS, *RUN, SEC_SQL, PULSE, LATEST_PULSE, recursive=True)
+
+
+@query("buy_checklist", "E27", CHECKED + CHECKLIST)
 def buy_checklist(spark, d):
     b = px(spark, d)
     return CO.buy_checklist(
@@ -265,19 +281,9 @@ def buy_checklist(spark, d):
     )
 
 
-@query(
-    "checklist_factors",
-    "E27",
-    P.with_(PX, AGE, PV, LV, RES, EXT, GAPS, *CONS, *RUN, SEC_SQL, PULSE, LATEST_PULSE)
-    + """SELECT symbol, 'long_term_trend' AS factor, CASE WHEN uptrend THEN 'good' ELSE 'bad' END AS status FROM res WHERE uptrend IS NOT NULL
- UNION ALL SELECT res.symbol, 'sector_context', CASE WHEN ev = 'broad_selloff' THEN 'warn' ELSE 'info' END FROM res JOIN lp USING (symbol) WHERE ev <> '-'
- UNION ALL SELECT res.symbol, 'stretch', CASE WHEN exs.state IN ('extended', 'blowoff', 'stretched_below') THEN 'warn' ELSE 'good' END FROM res JOIN exs USING (symbol) WHERE exs.state <> 'normal'
- UNION ALL SELECT res.symbol, 'earnings_risk', CASE WHEN hot_runup THEN 'bad' ELSE 'warn' END FROM res JOIN rn USING (symbol) WHERE soon
- UNION ALL SELECT res.symbol, 'street_consensus', 'info' FROM res JOIN cs USING (symbol)
- UNION ALL SELECT res.symbol, 'opening_gap', 'info' FROM res JOIN gd USING (symbol) WHERE gd.age = 0 AND gd.n >= 121 AND gd.direction IS NOT NULL AND gd.symbol IN (SELECT symbol FROM gs)""",
-)
+@query("checklist_factors", "E27", CHECKED + CHECKLIST)
 def checklist_factors(spark, d):
-    return buy_checklist(spark, d).where("factor <> 'dip_signal'")
+    return buy_checklist(spark, d)
 
 
 def read_ctes() -> list[str]:

@@ -12,12 +12,12 @@ from .registry import query
 from .volatility import FIX, vol_ctes
 
 PX = P.px_sql("type")
-BASE = [
-    numbered(PX, "px"),
+_DIP_BARS = [
     recur(gains(2), first="k = 2", name="r2e"),
     f"tb AS MATERIALIZED (SELECT b.*, {RSI_EWM_SQL.format(p=2)} AS rsi2, {full('avg', 'close', 5)} AS sma5, {full('avg', 'close', 50)} AS sma50, {full('avg', 'close', 200)} AS sma200 FROM b LEFT JOIN r2e USING (symbol, k))",
     "dp AS MATERIALIZED (SELECT *, coalesce(rsi2 < 15 AND close > sma200 AND i >= 210, false) AS dip FROM tb)",
 ]
+BASE = [numbered(PX, "px"), *_DIP_BARS]
 
 
 def walk(entry: str, name: str) -> list[str]:
@@ -36,6 +36,13 @@ def walk(entry: str, name: str) -> list[str]:
 RAND = """dp2 AS (SELECT *, i >= 210 AND i < n - 1 AS ok, count(*) FILTER (dip) OVER (PARTITION BY symbol) AS want, md5(symbol || '|' || strftime(ts, '%Y-%m-%d') || '|0') AS h FROM dp),
 dp3 AS MATERIALIZED (SELECT *, ok AND row_number() OVER (PARTITION BY symbol, ok ORDER BY h) <= want AS pick FROM dp2)"""
 DIP = [*BASE, *walk("dip", "dt")]
+#: ``dst`` is the dip state of each symbol of ``px``, numbered as ``b``.
+DIP_STATE = [
+    *_DIP_BARS,
+    *walk("dip", "dt"),
+    "dto AS (SELECT symbol, avg((ret > 0)::INT) AS win_rate FROM dt GROUP BY symbol HAVING count(*) >= 15)",
+    "dst AS MATERIALIZED (SELECT symbol, coalesce(close > sma200, false) AS dip_up, coalesce(rsi2 < 15 AND close > sma200, false) AS dip_active, win_rate FROM dp JOIN dto USING (symbol) WHERE i = n - 1 AND n >= 260)",
+]
 BOTH = [*DIP, RAND, *[c.replace("FROM dp)", "FROM dp3)") for c in walk("pick", "rt")]]
 
 
