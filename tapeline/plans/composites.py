@@ -19,8 +19,8 @@ from .indicators import ALL_CTES, WS, full, numbered
 from .levels import LV, PV, RES
 from .patterns import CHART, EXT as SWING, LEVELS, PATTERNS
 from .registry import query
-from .regimes import AGE, ALIGN, BENCH, CROSS_CTES, EXT, GAPS, MTF, REGIME, RS_SQL, TEMPLATE, at
-from .trades import DIP_STATE
+from .regimes import AGE, ALIGN, BENCH, CROSS_CTES, EXT, GAPS, MTF, REGIME, RS_SQL, RSI_CTES, TEMPLATE, WATCH, at, tail
+from .trades import DIP_STATE, plan_ctes
 
 PX = P.px_sql("brand")
 AS_OF = "1999-06-01"
@@ -431,11 +431,32 @@ def recent_move(spark, d):
     return CO.recent_move(px(spark, d))
 
 
-@query("scan", "E16 K8")
+def once(*ctes: str) -> list[str]:
+    """The expressions without those whose name came before."""
+    seen: dict[str, str] = {}
+    for c in ctes:
+        seen.setdefault(c.split(" AS ", 1)[0].split("(")[0].strip(), c)
+    return list(seen.values())
+
+
+SCAN = [
+    *once(*RSI_CTES, WATCH, AGE, BENCH, RS_SQL, geometry_cte(), events_cte(), *DIP_STATE, *plan_ctes(21, PX)),
+    "rvs AS (SELECT symbol, max((bias = 'bullish')::INT) = 1 AS reversal FROM cev WHERE n - i <= 4 GROUP BY 1)",
+    f"sg0 AS (SELECT symbol, count(close) AS nn, {at(0)} AS price, {at(0, 'rsi')} AS rsi, {tail('avg', 20)} AS s20, {tail('avg', 200)} AS s200 FROM ri GROUP BY symbol)",
+    "sg1 AS (SELECT sg0.*, coalesce(excess, -0.99) AS ex, coalesce(reversal, false) AS reversal FROM sg0 LEFT JOIN rstr USING (symbol) LEFT JOIN rvs USING (symbol) WHERE nn >= 210)",
+    """scn AS MATERIALIZED (SELECT symbol, price, CASE WHEN price > s200 AND ex > 0 AND sg1.rsi IS NOT NULL THEN
+ least(100 * (0.55 * least(1, greatest(0, (55 - sg1.rsi) / 30)) + 0.35 * least(1, greatest(0, (s20 / price - 1) / 0.05)) + 0.1) + CASE WHEN reversal THEN 8.0 ELSE 0.0 END, 100.0) ELSE 0.0 END AS setup_score,
+ price > s200 AS in_uptrend, ex > 0 AS outperforming, sg1.rsi, reversal, price * (1 - 0.5 * coalesce(weekly_vol, 0)) AS buy_zone_low, target, stop, p_profit_intraperiod,
+ CASE WHEN dip_active THEN 'active' WHEN dip_up THEN 'waiting' WHEN dst.symbol IS NOT NULL THEN 'downtrend' END AS dip_bucket, dst.win_rate AS dip_win_rate, status AS watch, fresh AS watch_fresh
+ FROM sg1 LEFT JOIN dst USING (symbol) LEFT JOIN bwt USING (symbol) LEFT JOIN plan USING (symbol))""",
+]
+
+
+@query("scan", "E16 K8", P.with_(*SCAN, recursive=True) + "SELECT * FROM scn")
 def scan(spark, d):
     return CO.scan(px(spark, d), bench(spark, d))
 
 
-@query("top_setups", "E16 K9")
+@query("top_setups", "E16 K9", P.with_(*SCAN, recursive=True) + "SELECT * FROM scn WHERE setup_score > 0 ORDER BY setup_score DESC, symbol LIMIT 5")
 def top_setups(spark, d):
     return CO.top_setups(CO.scan(px(spark, d), bench(spark, d)))

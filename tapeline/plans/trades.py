@@ -143,10 +143,10 @@ def timing_study(spark, d):
     return TR.timing_study(P.type_px(spark, d))
 
 
-def excursion_ctes(h: int) -> list[str]:
+def excursion_ctes(h: int, px: str = PX) -> list[str]:
     f = f"OVER ({WS} ROWS BETWEEN 1 FOLLOWING AND {h} FOLLOWING)"
     return [
-        *[FIX(c) for c in vol_ctes(PX, "px")],
+        *[FIX(c) for c in vol_ctes(px, "px")],
         f"""xc AS MATERIALIZED (SELECT symbol, ts, i, n, close, sigma, CASE WHEN count(*) {f} = {h} THEN max(high) {f} / close - 1 END AS mfe,
  CASE WHEN count(*) {f} = {h} THEN min(low) {f} / close - 1 END AS mae, lead(close, {h}) OVER ({WS}) / close - 1 AS er, sigma * sqrt({h}) AS sh FROM vols)""",
     ]
@@ -157,10 +157,10 @@ OUT = """safe * nw AS target_ret, stretch * nw AS stretch_ret, stp * nw AS stop_
  vr AS vol_ratio, nw AS weekly_vol, CASE WHEN vr > 1.25 THEN 'elevated' WHEN vr < 0.8 THEN 'calm' ELSE 'normal' END AS regime"""
 
 
-def plan_ctes(h: int) -> list[str]:
+def plan_ctes(h: int, px: str = PX) -> list[str]:
     s = f"FILTER (n - 1 - i BETWEEN {h} AND {h + 251} AND sh > 0)"
     return [
-        *excursion_ctes(h),
+        *excursion_ctes(h, px),
         f"""pl0 AS (SELECT symbol, max(n) AS nn, count(mfe) {s} AS samples, max(close) FILTER (i = n - 1) AS entry, arg_max(sh, ts) FILTER (sh IS NOT NULL) AS raw, quantile_cont(sh, 0.5::DOUBLE) {s} AS med,
  quantile_cont(mfe / sh, 0.34::DOUBLE) {s} AS safe, quantile_cont(mfe / sh, 0.5::DOUBLE) {s} AS stretch, quantile_cont(mae / sh, 0.34::DOUBLE) {s} AS stp,
  avg((mfe > 0)::INT) {s} AS p_profit_intraperiod, avg((er > 0)::INT) {s} AS p_profit_at_close FROM xc GROUP BY symbol)""",
