@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from ..functions import stats
 from ..functions import windows as w
 from ..session import cut_lineage
+from ..sources import bars as B
 from . import evaluations as E
 from . import volatility as V
 
@@ -48,10 +49,25 @@ def assembler() -> VectorAssembler:
 
 
 def training_rows(df: DataFrame) -> DataFrame:
-    x = lag_features(df).dropna(subset=[*FEATURES, "target"])
+    """Rows with all features and a target, and ``target_ts``, the date on which the target is known."""
+    x = lag_features(df).withColumn("target_ts", w.lead("ts")).dropna(subset=[*FEATURES, "target"])
     return assembler().transform(x)
 
 
+def known_by(rows: DataFrame, cut: Column) -> DataFrame:
+    """Training rows whose target is known on date ``cut``, the same for all symbols.
+
+    The model is pooled: a cut by bar number would let a shorter symbol's rows
+    tell of dates after another symbol's origin."""
+    return rows.where(F.col("target_ts") <= cut)
+
+
+def calendar_cut(df: DataFrame, share: float) -> Column:
+    """The date that leaves ``share`` of the calendar behind it."""
+    cal = B.calendar(df)
+    return cal.where(F.col("ci") == F.floor(F.col("cn") * share)).agg(F.max("ts")).scalar()
+
+
 def fit_gbt(rows: DataFrame, trees: int = 20, step: float = 0.1, seed: int = 42):
     """Pooled boosted trees on the next log return."""
     gbt = GBTRegressor(
@@ -62,11 +78,10 @@ def fit_gbt(rows: DataFrame, trees: int = 20, step: float = 0.1, seed: int = 42)
 
 def fit_report(df: DataFrame, split: float = 0.8, trees: int = 20) -> DataFrame:
     """Chronological hold-out error per symbol: RMSE, direction and the
-    majority-direction base rate."""
-    x = training_rows(df).withColumns({"__i": w.bar_no(), "__n": w.n_bars()})
-    early = F.col("__i") < F.floor(F.col("__n") * split)
-    model = fit_gbt(x.where(early), trees)
-    p = model.transform(x.where(~early))
+    majority-direction base rate.  One calendar date parts training and test."""
+    x, cut = training_rows(df), calendar_cut(df, split)
+    model = fit_gbt(known_by(x, cut), trees)
+    p = model.transform(x.where(F.col("target_ts") > cut))
     t, y = F.col("target"), F.col("pred")
     up = F.avg((t > 0).cast("double"))
     return p.groupBy("symbol").agg(
@@ -165,13 +180,15 @@ def roll_forward(origin: DataFrame, model, h: int) -> DataFrame:
     return x
 
 
-def points(rolled: DataFrame, z: DataFrame | None = None, resid: float = 0.0) -> DataFrame:
-    """(…, step, value, lower, upper) rows of rolled origins."""
+def points(rolled: DataFrame, z: DataFrame | None = None, resid: DataFrame | None = None) -> DataFrame:
+    """(…, step, value, lower, upper) rows of rolled origins; ``resid(symbol,
+    rmse)`` is the hold-out error that bands a symbol without a volatility."""
     keep = [c for c in rolled.columns if c not in ("rets", "closes", "path")]
     x = rolled.select(*keep, F.posexplode("path").alias("__p", "value")).withColumn("step", (F.col("__p") + 1).cast("long")).drop("__p")
     x = x.join(z.select("symbol", "z"), "symbol", "left") if z is not None else x.withColumn("z", F.lit(Z_MIN))
-    lo, hi = band(F.col("value"), F.col("sigma"), F.coalesce("z", F.lit(Z_MIN)), F.col("step"), resid)
-    return x.withColumns({"lower": lo, "upper": hi})
+    x = x.join(resid.select("symbol", "rmse"), "symbol", "left") if resid is not None else x.withColumn("rmse", F.lit(None).cast("double"))
+    lo, hi = band(F.col("value"), F.col("sigma"), F.coalesce("z", F.lit(Z_MIN)), F.col("step"), F.col("rmse"))
+    return x.withColumns({"lower": lo, "upper": hi}).drop("rmse")
 
 
 def future_dates(bars: DataFrame, h: int, interval: str = "1d") -> DataFrame:
@@ -199,8 +216,9 @@ def future_dates(bars: DataFrame, h: int, interval: str = "1d") -> DataFrame:
 def forecast(df: DataFrame, h: int = 10, trees: int = 20) -> DataFrame:
     """Recursive forecast from the newest bar of every symbol with its band."""
     model = fit_gbt(training_rows(df), trees)
+    error = fit_report(df, trees=trees).select("symbol", "rmse")
     origin = states(df).where((F.col("i") == F.col("n") - 1) & (F.col("n") >= LAGS + 40)).select("symbol", "sigma", "rets", "closes", F.col("close").alias("entry"))
-    p = points(roll_forward(origin, model, h), adaptive_z(df, h))
+    p = points(roll_forward(origin, model, h), adaptive_z(df, h), error)
     return p.join(future_dates(df, h), ["symbol", "step"]).select(
         "symbol", "step", "ts", "entry", "value", "lower", "upper", "z", tail_label(F.col("z")).alias("tail")
     )
@@ -214,14 +232,16 @@ def persistence(df: DataFrame, h: int) -> DataFrame:
 
 
 def track_record(df: DataFrame, h: int = 10, tests: int = 40, refit: int = 8, trees: int = 10) -> DataFrame:
-    """Walk-forward direction record over the last ``tests`` origins: each block
-    of ``refit`` origins is scored by a model of the bars before it."""
-    x = lag_features(df).withColumns({"i": w.bar_no(), "n": w.n_bars(), "__f": w.lead("close", h)})
-    x = x.where(F.col("n") >= 150 + h).withColumn("j", F.col("i") - (F.col("n") - tests - h))
+    """Walk-forward direction record over the last ``tests`` dates that have
+    ``h`` more: each block of ``refit`` dates is scored by a model of what was
+    known on its first date."""
+    x = B.with_calendar(lag_features(df)).withColumns({"n": w.n_bars(), "__f": w.lead("close", h), "__tc": w.lead("ci")})
+    base = F.col("cn") - tests - h
+    x = x.where(F.col("n") >= 150 + h).withColumns({"j": F.col("ci") - base, "jt": F.col("__tc") - base})
     rows = assembler().transform(x.dropna(subset=FEATURES))
     out = None
     for start in range(0, tests, refit):
-        model = fit_gbt(rows.where((F.col("j") < start - 1) & F.col("target").isNotNull()), trees)
+        model = fit_gbt(rows.where((F.col("jt") <= start) & F.col("target").isNotNull()), trees)
         part = model.transform(rows.where(F.col("j").between(start, start + refit - 1)))
         part = part.select("symbol", "j", F.signum("pred").alias("p"), F.signum(F.col("__f") - F.col("close")).alias("a"))
         out = part if out is None else out.unionByName(part)
@@ -265,13 +285,19 @@ def _origins(df: DataFrame) -> DataFrame:
     return states(df).select("symbol", "ts", "i", "n", F.col("close").alias("entry"), "sigma", "rets", "closes").where(F.col("i") >= 260)
 
 
-def walkforward_eval(df: DataFrame, lookback: int = 120, h: int = 5, trees: int = 20) -> DataFrame:
+def walkforward_eval(df: DataFrame, lookback: int = 120, h: int = 5, trees: int = 20, refit: int = 40) -> DataFrame:
     """Forecast error, direction and band cover at 1 and ``h`` bars over the last
-    ``lookback`` origins, from a model of the bars before them."""
-    rows = training_rows(df).withColumns({"__i": w.bar_no(), "__n": w.n_bars()})
-    model = fit_gbt(rows.where(F.col("__i") < F.col("__n") - lookback), trees)
-    o = _origins(df).where((F.col("i") >= F.col("n") - lookback) & (F.col("i") < F.col("n") - h))
-    s = _scored(df, o, model, h)
+    ``lookback`` dates; each block of ``refit`` dates has a model of what was
+    known on its first date."""
+    cal = B.calendar(df).withColumn("j", F.col("ci") - (F.col("cn") - lookback))
+    rows = training_rows(df)
+    origins = _origins(df).where(F.col("i") < F.col("n") - h).join(cal.select("ts", "j"), "ts").where("j >= 0")
+    s = None
+    for start in range(0, lookback, refit):
+        cut = cal.where(F.col("j") == start).agg(F.max("ts")).scalar()
+        model = fit_gbt(known_by(rows, cut), trees)
+        part = _scored(df, origins.where(F.col("j").between(start, start + refit - 1)), model, h)
+        s = part if s is None else s.unionByName(part)
     return s.where(F.col("step").isin(1, h)).groupBy(F.col("step").alias("horizon")).agg(*_rates())
 
 
@@ -321,17 +347,22 @@ def month_oos_eval(df: DataFrame, month: str, trees: int = 20, h: int = 31) -> D
     return j.groupBy("span").agg(*_rates(), stats.rate(F.col("top") >= F.col("target")).alias("target_reached"))
 
 
-def weekly_direction_eval(df: DataFrame, weeks: int = 10, trees: int = 20) -> DataFrame:
+def weekly_direction_eval(df: DataFrame, weeks: int = 10, trees: int = 20, refit: int = 5) -> DataFrame:
     """First-bar and all-bar direction, band cover and error of the last
-    ``weeks`` ISO weeks, forecast from the bar before each week."""
+    ``weeks`` ISO weeks, forecast from the bar before each week; each block of
+    ``refit`` weeks has a model of the dates before it."""
     ws = _week_starts(df)
-    last = ws.select("week").distinct().orderBy(F.desc("week")).limit(weeks)
+    last = ws.groupBy("week").agg(F.min("first_ts").alias("opens")).orderBy(F.desc("week")).limit(weeks)
+    order = sorted(last.collect(), key=lambda r: r.opens)  # at most ``weeks`` rows
     ws = ws.join(F.broadcast(last), "week").withColumn("i", F.col("first") - 1).where("i >= 260")
-    start = ws.groupBy("symbol").agg(F.min("i").alias("__s"))
-    rows = training_rows(df).withColumn("__i", w.bar_no()).join(start, "symbol").where(F.col("__i") < F.col("__s") - LAGS)
-    model = fit_gbt(rows, trees)
-    o = _origins(df).join(ws.select("symbol", "i"), ["symbol", "i"], "left_semi")
-    s = _scored(df, o, model, 5).join(ws.select("symbol", "i", "days"), ["symbol", "i"]).where(F.col("step") <= F.col("days"))
+    rows, origins, s = training_rows(df), _origins(df), None
+    for k in range(0, len(order), refit):
+        block = order[k : k + refit]
+        model = fit_gbt(rows.where(F.col("target_ts") < F.lit(block[0].opens)), trees)
+        own = ws.where(F.col("opens").between(block[0].opens, block[-1].opens)).select("symbol", "i")
+        part = _scored(df, origins.join(own, ["symbol", "i"], "left_semi"), model, 5)
+        s = part if s is None else s.unionByName(part)
+    s = s.join(ws.select("symbol", "i", "days"), ["symbol", "i"]).where(F.col("step") <= F.col("days"))
     ok = F.signum(F.col("value") - F.col("entry")) == F.signum(F.col("actual") - F.col("entry"))
     return s.agg(
         F.count(F.lit(1)).alias("n"),

@@ -98,10 +98,11 @@ def with_calendar(bars: DataFrame) -> DataFrame:
 def densify(bars: DataFrame, ffill: int = 0) -> DataFrame:
     """Panel mode: every symbol on every calendar date, NULL where it has no bar.
 
-    The result is symbols x dates by definition.  The dates are one scalar
-    array (a calendar, not data-sized), exploded beside each symbol."""
-    dates = calendar(bars).agg(F.collect_list("ts")).scalar()
-    grid = bars.select("symbol").distinct().select("symbol", F.explode(dates).alias("ts"))
+    The result is symbols x dates by definition.  Symbols take the months (one
+    short scalar array), and each month brings its dates."""
+    dates = calendar(bars).select("ts", F.date_trunc("month", "ts").alias("__m"))
+    months = dates.agg(F.collect_set("__m")).scalar()
+    grid = bars.select("symbol").distinct().select("symbol", F.explode(months).alias("__m")).join(dates, "__m").select("symbol", "ts")
     out = grid.join(bars, ["symbol", "ts"], "left")
     if ffill:
         spec = w.by().rowsBetween(-ffill, 0)
