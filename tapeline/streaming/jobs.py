@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import fresh_dir
@@ -45,9 +45,9 @@ def stream_bars(trades: DataFrame, width: str = "1 hour", delay: str = "2 hours"
     )
 
 
-def live_quotes(trades: DataFrame) -> DataFrame:
-    """Running last price, range and count per symbol (update or complete mode)."""
-    return trades.groupBy("symbol").agg(
+def day_quotes(trades: DataFrame) -> DataFrame:
+    """Running last price, range and count per symbol and day (update or complete mode)."""
+    return trades.groupBy("symbol", F.to_date("ts").alias("day")).agg(
         F.max_by("price", "ts").alias("price"),
         F.max("price").alias("high"),
         F.min("price").alias("low"),
@@ -56,7 +56,23 @@ def live_quotes(trades: DataFrame) -> DataFrame:
     )
 
 
-def sliding_volume(trades: DataFrame, averages: DataFrame, width: str = "1 day", slide: str = "6 hours", delay: str = "2 hours", spike: float = 1.2) -> DataFrame:
+def live_quotes(days: DataFrame) -> DataFrame:
+    """The quote of each symbol from its day table: last price, close of the day
+    before and the change from it, range and trades of the day."""
+    by_day = Window.partitionBy("symbol").orderBy("day")
+    x = days.withColumns({"prev_close": F.lag("price").over(by_day), "last": F.max("day").over(Window.partitionBy("symbol"))})
+    return x.where(F.col("day") == F.col("last")).select(
+        "symbol", "price", "prev_close", (F.try_divide("price", "prev_close") - 1.0).alias("change"), F.col("high").alias("day_high"), F.col("low").alias("day_low"), "trades", "as_of"
+    )
+
+
+def mean_volume(daily: DataFrame, bars: int = 50) -> DataFrame:
+    """(symbol, avg_volume): the mean of the newest ``bars`` daily volumes."""
+    newest = Window.partitionBy("symbol").orderBy(F.desc("ts"))
+    return daily.withColumn("__p", F.row_number().over(newest)).where(F.col("__p") <= bars).groupBy("symbol").agg(F.avg("volume").alias("avg_volume"))
+
+
+def sliding_volume(trades: DataFrame, averages: DataFrame, width: str = "1 day", slide: str = "6 hours", delay: str = "2 hours", spike: float = 2.0) -> DataFrame:
     """Sliding-window volume against a static average per symbol; rows at or over
     ``spike`` times the average.  ``averages``: symbol, avg_volume."""
     g = trades.withWatermark("ts", delay).groupBy("symbol", F.window("ts", width, slide).alias("w")).agg(F.sum("qty").alias("volume"))
@@ -166,14 +182,20 @@ def run_to_table(stream: DataFrame, name: str, mode: str = "append") -> str:
     writer = stream.writeStream.trigger(availableNow=True).option("checkpointLocation", f"{path}/_progress")
     if mode == "append":
         q = writer.outputMode("append").format("parquet").option("path", f"{path}/data").start()
-    else:
-        q = writer.outputMode(mode).foreachBatch(_replace(f"{path}/data")).start()
-    q.awaitTermination()
-    return f"{path}/data"
+        q.awaitTermination()
+        return f"{path}/data"
+    versions: list[str] = []
+    writer.outputMode(mode).foreachBatch(_version(f"{path}/data", versions)).start().awaitTermination()
+    return versions[-1]
+
 
+def _version(path: str, versions: list[str]) -> Callable[[DataFrame, int], None]:
+    """Writes each batch to a folder of its own, so readers of the one before are
+    not disturbed; a repeated batch writes the same folder again."""
 
-def _replace(path: str) -> Callable[[DataFrame, int], None]:
-    def write(batch: DataFrame, _: int) -> None:
-        batch.write.mode("overwrite").parquet(path)
+    def write(batch: DataFrame, number: int) -> None:
+        to = f"{path}/v{number}"
+        batch.write.mode("overwrite").parquet(to)
+        versions.append(to)
 
     return write
