@@ -72,6 +72,8 @@ def _repeats(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     found = as_table(units(own, ["_id", "_row"], "_text"), "text_units")
     rank = F.struct(F.col("_id").isNull().alias("none"), F.col("_id").alias("id"), F.col("_row").alias("row"), F.col("start").alias("start"))
     first = found.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min(rank).alias("first")).where("n > 1").drop("n")
+    # A table of its own leaves both sides of the join plain, so that a common unit's rows can be split.
+    first = as_table(first, "first_units")
     both = found.join(first, ["h1", "h2"]).where((F.col("first.row") != F.col("_row")) | (F.col("first.start") != F.col("start")))
     return both.select("_row", "_id", "start", "end", "n_words", F.col("first.id").alias("first_id"), F.col("first.start").alias("first_start"))
 
