@@ -17,7 +17,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .tables import fresh, with_row
+from .tables import as_table, fresh, with_row
 
 #: Labelled findings per case; trees, depth and seed of the forest; score from which a candidate is a secret.
 PER_CASE = 120
@@ -145,7 +145,8 @@ def labelled_findings(spark: SparkSession) -> DataFrame:
 
 def fit(spark: SparkSession, labelled: DataFrame | None = None) -> PipelineModel:
     """The forest, fitted on labelled findings (by default the built-in cases)."""
-    rows = features(labelled if labelled is not None else labelled_findings(spark))
+    # Stored, as the fit reads its rows several times.
+    rows = as_table(features(labelled if labelled is not None else labelled_findings(spark)), "labelled_findings")
     assembler = VectorAssembler(inputCols=FEATURES, outputCol="_features")
     forest = RandomForestClassifier(
         featuresCol="_features", labelCol="label", numTrees=TREES, maxDepth=DEPTH, seed=SEED, probabilityCol="_p", rawPredictionCol="_raw", predictionCol="_guess"
