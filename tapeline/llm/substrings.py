@@ -1,12 +1,20 @@
-"""Substring deduplication by hashing lines and their sentences.
+"""Substring deduplication by hashing lines, paragraphs, sentences and windows of words.
 
-A unit is a line, cut once more after words that end in ``.``, ``!`` or ``?``, so
-that a passage pasted into the middle of a line is met as well.  Units are
-normalised (A-Z lower-cased, white space one blank) and hashed to 128 bits;
-digests are grouped over all documents and the earliest occurrence stays: by
-document id (null last), then stored row, then place.  The others are removed at
-their original offsets.  Units of fewer than MIN_WORDS words repeat by chance and
-are left alone."""
+Units are lines and paragraphs of any length, sentences (a line is cut once more
+after words that end in ``.``, ``!`` or ``?``) of MIN_WORDS words and more, and,
+for a shorter sentence, the shortest runs of sentences from it and up to it that
+are long enough: a repeated run of whole sentences, and so a line of MIN_WORDS
+words, is found by these wherever it is pasted.  A passage that keeps to no line or sentence end is met by its windows of
+WIDTH words.  Only windows that can repeat and are not removed already become
+units: equal windows have the same smallest digest of SHORT words, so those whose
+smallest digest occurs once are left out by a bitmap, and of the others only those
+equal to a window with a word that is still there.  What the bitmaps let through
+too much costs time only.
+
+Units are normalised (A-Z lower-cased, white space one blank) and hashed to 128
+bits; digests are grouped over all documents and the earliest occurrence stays:
+by document id (null last), then stored row, then place.  The others are removed
+at their original offsets, save those that overlap the occurrence that stays."""
 
 from __future__ import annotations
 
@@ -14,68 +22,211 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark import Broadcast
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .bitmaps import bitmap, member
 from .simhash import xxh64
 from .tables import as_table, fresh, with_row
 from .words import LEADS, LOWER, NOT_SPACE, Words, chunks, flat, offsets_of
 
 MIN_WORDS = 8
+#: Words of a window, and of the digests inside it of which the smallest stands for it.
+WIDTH, SHORT = 50, 26
 SEEDS = (42, 4242)
 
 _STOP = np.isin(np.arange(256), np.frombuffer(b".!?", np.uint8))
+#: An odd factor and its inverse modulo 2**64.
+_BASE = 0x9E3779B97F4A7C15
+_BACK = pow(_BASE, -1, 1 << 64)
 
+_FIELDS = ("start", "end", "n_words", "h1", "h2")
 
-def text_units(text: pa.Array) -> dict[str, np.ndarray]:
-    """Row, place (code points), number of words and digest of every unit."""
+
+def _powers(x: int, n: int) -> np.ndarray:
+    out = np.full(n, x, np.uint64)
+    out[:1] = 1
+    return np.cumprod(out, dtype=np.uint64)
+
+
+def _windows(h: np.ndarray, width: int) -> np.ndarray:
+    """A digest of every ``width`` successive words from the words' digests."""
+    n = len(h)
+    sums = np.zeros(n + 1, np.uint64)
+    np.cumsum(h * _powers(_BASE, n), out=sums[1:])
+    out = (sums[width:] - sums[:-width]) * _powers(_BACK, n - width + 1)
+    out = (out ^ (out >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return out ^ (out >> np.uint64(32))
+
+
+def _slide(x: np.ndarray, width: int, best: np.ufunc) -> np.ndarray:
+    """The best of every ``width`` successive values."""
+    size = 1
+    while size < width:
+        step = min(size, width - size)
+        x = best(x[:-step], x[step:])
+        size += step
+    return x
+
+
+def _smallest(w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
+    """Digests of SHORT words; the smallest in each window; windows that lie in one row; digests of the words."""
+    codes, distinct = w.ids()
+    data, offsets = flat(distinct)
+    h = [xxh64(data, offsets[:-1], np.diff(offsets), seed)[codes] for seed in SEEDS]
+    short = _windows(h[0], SHORT)
+    return short, _slide(short, WIDTH - SHORT + 1, np.minimum), w.row_of[: 1 - WIDTH] == w.row_of[WIDTH - 1 :], h
+
+
+def _chosen(text: pa.Array) -> np.ndarray:
+    """The digests of SHORT words that are the smallest of a window, once for each place."""
     data, offsets = flat(text)
     w = Words(LOWER[data], offsets, NOT_SPACE)
-    if not len(w.starts):
-        return {k: np.zeros(0, np.int64) for k in ("row", "start", "end", "n_words", "h1", "h2")}
-    joined, at, last = w.joined()
+    if len(w.starts) < WIDTH:
+        return np.zeros(0, np.int64)
+    short, least, whole, _ = _smallest(w)
+    edge = np.zeros(WIDTH - SHORT, np.uint64)
+    most = _slide(np.concatenate([edge, np.where(whole, least, np.uint64(0)), edge]), WIDTH - SHORT + 1, np.maximum)
+    return short[most == short].view(np.int64)
+
+
+def _spans(w: Words, data: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and last word of every long enough sentence and run of sentences, shorter line and paragraph of several lines."""
     breaks = np.zeros(len(data) + 1, np.int64)
     np.cumsum(data == 10, out=breaks[1:])
-    close = last | _STOP[data[w.ends - 1]]
-    close[:-1] |= breaks[w.starts[1:]] > breaks[w.ends[:-1]]
-    b = np.flatnonzero(close)
-    a = np.append(0, b[:-1] + 1)
+    gap = breaks[w.starts[1:]] - breaks[w.ends[:-1]]
+    line, paragraph = last.copy(), last.copy()
+    line[:-1] |= gap > 0
+    paragraph[:-1] |= gap > 1
+    begin = lambda b: np.append(0, b[:-1] + 1)
+    b = np.flatnonzero(line | _STOP[data[w.ends - 1]])
+    a = begin(b)
+    short = np.flatnonzero(b - a + 1 < MIN_WORDS)
+    to = np.searchsorted(b, a[short] + MIN_WORDS - 1)
+    ahead = to < len(b)
+    ahead[ahead] = w.row_of[b[to[ahead]]] == w.row_of[a[short[ahead]]]
+    since = np.searchsorted(a, b[short] - MIN_WORDS + 1, "right") - 1
+    behind = since >= 0
+    behind[behind] = w.row_of[a[since[behind]]] == w.row_of[b[short[behind]]]
+    long = b - a + 1 >= MIN_WORDS
+    ends = [b[long], b[to[ahead]], b[short[behind]], np.flatnonzero(line), np.flatnonzero(paragraph)]
+    firsts = [a[long], a[short[ahead]], a[since[behind]], begin(ends[3]), begin(ends[4])]
+    # Of a longer line its sentences and runs leave nothing over; a paragraph of several lines may be wrapped anew.
+    for k, use in ((3, ends[3] - firsts[3] + 1 < MIN_WORDS), (4, ~np.isin(firsts[4], firsts[3][np.isin(ends[3], ends[4])]))):
+        ends[k], firsts[k] = ends[k][use], firsts[k][use]
+    both = np.unique(np.concatenate(firsts) * len(w.starts) + np.concatenate(ends))
+    return both // len(w.starts), both % len(w.starts)
+
+
+def _placed(w: Words, data: np.ndarray, a: np.ndarray, b: np.ndarray) -> list[np.ndarray]:
+    """Row, start and end (code points) and number of words from first to last words."""
     points = offsets_of(LEADS[data])
     row = w.row_of[a]
-    base = points[offsets[:-1]][row]
+    base = points[w.offsets[:-1]][row]
+    return [row, points[w.starts[a]] - base, points[w.ends[b]] - base, b - a + 1]
+
+
+def text_units(text: pa.Array) -> dict[str, np.ndarray]:
+    """Row, place (code points), number of words and digest of every unit but the windows."""
+    data, offsets = flat(text)
+    w = Words(LOWER[data], offsets, NOT_SPACE)
+    if not len(w.starts):
+        return {k: np.zeros(0, np.int64) for k in ("row", *_FIELDS)}
+    joined, at, last = w.joined()
+    a, b = _spans(w, data, last)
     size = at[b] + (w.ends - w.starts)[b] - at[a]
-    out = {"row": row, "start": points[w.starts[a]] - base, "end": points[w.ends[b]] - base, "n_words": b - a + 1}
-    use = out["n_words"] >= MIN_WORDS
-    out = {k: v[use] for k, v in out.items()}
-    for name, seed in zip(("h1", "h2"), SEEDS, strict=True):
-        out[name] = xxh64(joined, at[a][use], size[use], seed).view(np.int64)
-    return out
+    digests = (xxh64(joined, at[a], size, seed).view(np.int64) for seed in SEEDS)
+    return dict(zip(("row", *_FIELDS), [*_placed(w, data, a, b), *digests], strict=True))
 
 
-def units(docs: DataFrame, keep: list[str], text_col: str) -> DataFrame:
-    """Every unit of MIN_WORDS words and more: keep, start, end, n_words, h1, h2."""
-    schema = T.StructType([docs.schema[c] for c in keep] + [T.StructField(c, T.LongType()) for c in ("start", "end", "n_words", "h1", "h2")])
+def text_windows(text: pa.Array, repeating: np.ndarray, gone: pa.Array | None = None, wanted: np.ndarray | None = None) -> dict[str, np.ndarray]:
+    """As ``text_units`` the windows that can repeat, and ``at``, their first word's number.
+
+    With ``gone``, the removed (start, end) of each row, only those with a word
+    outside; with ``wanted`` only those whose digest is in that bitmap."""
+    data, offsets = flat(text)
+    w = Words(LOWER[data], offsets, NOT_SPACE)
+    if len(w.starts) < WIDTH:
+        return {k: np.zeros(0, np.int64) for k in ("row", *_FIELDS, "at")}
+    _, least, whole, h = _smallest(w)
+    h1 = _windows(h[0], WIDTH)
+    use = whole & member(repeating, least)
+    if wanted is not None:
+        use &= member(wanted, h1)
+    if gone is not None:
+        points = offsets_of(LEADS[data])
+        sizes = np.asarray(pc.fill_null(pc.list_value_length(gone), 0).to_numpy(zero_copy_only=False), np.int64)
+        spans, base = gone.flatten(), points[offsets[:-1]]
+        base = np.repeat(base, sizes)
+        edge = np.zeros(len(w.starts) + 1, np.int64)
+        begins, ends = points[w.starts], points[w.ends]
+        for name, of, by, side in (("start", begins, 1, "left"), ("end", ends, -1, "right")):
+            np.add.at(edge, np.searchsorted(of, spans.field(name).to_numpy(zero_copy_only=False) + base, side), by)
+        left = offsets_of(np.cumsum(edge)[:-1] <= 0)
+        use &= left[WIDTH:] > left[:-WIDTH]
+    a = np.flatnonzero(use)
+    digests = h1[a].view(np.int64), _windows(h[1], WIDTH)[a].view(np.int64)
+    return dict(zip(("row", *_FIELDS, "at"), [*_placed(w, data, a, a + WIDTH - 1), *digests, a - w.rows[w.row_of[a]]], strict=True))
+
+
+def _repeating(docs: DataFrame, text_col: str) -> Broadcast:
+    """The bitmap of the smallest digests that more than one place holds."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in chunks(batches, text_col):
-            u = text_units(part.column(text_col))
+            yield pa.RecordBatch.from_arrays([pa.array(_chosen(part.column(text_col)))], ["h"])
+
+    found = docs.select(text_col).mapInArrow(run, "h long").groupBy("h").agg(F.count("*").alias("n")).where("n > 1")
+    return bitmap(found, "h")
+
+
+def _table(docs: DataFrame, keep: list[str], text_col: str, names: tuple[str, ...], make) -> DataFrame:
+    """keep and the named values of every unit that ``make`` finds in a part."""
+    schema = T.StructType([docs.schema[c] for c in keep] + [T.StructField(c, T.LongType()) for c in names])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in chunks(batches, text_col):
+            u = make(part)
             at = pa.array(u["row"])
-            yield pa.RecordBatch.from_arrays([*(part.column(c).take(at) for c in keep), *(pa.array(u[c]) for c in schema.names[len(keep) :])], schema.names)
+            yield pa.RecordBatch.from_arrays([*(part.column(c).take(at) for c in keep), *(pa.array(u[c]) for c in names)], schema.names)
+
+    return docs.mapInArrow(run, schema)
+
 
-    return docs.select(*keep, text_col).mapInArrow(run, schema)
+def _later(found: DataFrame, name: str, *more: str) -> DataFrame:
+    """The units that an earlier one repeats, with the place of that one."""
+    rank = F.struct(F.col("_id").isNull().alias("none"), F.col("_id").alias("id"), F.col("_row").alias("row"), "start", "end", *more)
+    first = found.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min(rank).alias("first")).where("n > 1").drop("n")
+    # A table of its own leaves both sides of the join plain, so that a common unit's rows can be split.
+    first = as_table(first, name)
+    both = found.join(first, ["h1", "h2"]).where((F.col("first.row") != F.col("_row")) | (F.col("first.end") <= F.col("start")))
+    return both.select("_row", "_id", "start", "end", "n_words", *more, *(F.col(f"first.{c}").alias(f"first_{c}") for c in ("id", "row", "start", *more)))
 
 
 def _repeats(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Every unit that an earlier one repeats: _row, _id, start, end, n_words, first_id, first_start."""
     own = with_row(docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")), "_row")
-    found = as_table(units(own, ["_id", "_row"], "_text"), "text_units")
-    rank = F.struct(F.col("_id").isNull().alias("none"), F.col("_id").alias("id"), F.col("_row").alias("row"), F.col("start").alias("start"))
-    first = found.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min(rank).alias("first")).where("n > 1").drop("n")
-    # A table of its own leaves both sides of the join plain, so that a common unit's rows can be split.
-    first = as_table(first, "first_units")
-    both = found.join(first, ["h1", "h2"]).where((F.col("first.row") != F.col("_row")) | (F.col("first.start") != F.col("start")))
-    return both.select("_row", "_id", "start", "end", "n_words", F.col("first.id").alias("first_id"), F.col("first.start").alias("first_start"))
+    keep, names = ["_id", "_row"], ("_row", "_id", "start", "end", "n_words", "first_id", "first_start")
+    found = as_table(_table(own, keep, "_text", _FIELDS, lambda p: text_units(p.column("_text"))), "text_units")
+    later = as_table(_later(found, "first_units").select(*names), "repeated_units")
+
+    repeating = _repeating(docs, text_col)
+    gone = later.groupBy("_row").agg(F.collect_list(F.struct("start", "end")).alias("_gone"))
+    rest = own.where(F.length("_text") >= 2 * WIDTH - 1).join(gone, "_row", "left").select("_text", "_gone")
+    wanted = bitmap(_table(rest, [], "_text", ("h1",), lambda p: text_windows(p.column("_text"), repeating.value, p.column("_gone"))), "h1")
+    windows = _table(own, keep, "_text", (*_FIELDS, "at"), lambda p: text_windows(p.column("_text"), repeating.value, wanted=wanted.value))
+    both = _later(as_table(windows, "text_windows"), "first_windows", "at")
+    # Windows that go on from one another in both documents are one passage.
+    passage = ["_row", "_id", "first_id", "first_row", (F.col("first_at") - F.col("at")).alias("shift")]
+    w = Window.partitionBy("_row", "first_row", F.col("first_at") - F.col("at")).orderBy("at")
+    new = F.coalesce(F.col("at") > F.lag("at").over(w) + WIDTH, F.lit(True)).cast("int")
+    merged = both.withColumn("new", new).withColumn("k", F.sum("new").over(w)).groupBy(*passage, "k").agg(
+        F.min("start").alias("start"), F.max("end").alias("end"), (F.max("at") - F.min("at") + WIDTH).alias("n_words"), F.min("first_start").alias("first_start")
+    )
+    return later.unionByName(merged.select(*names))
 
 
 def repeated_units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -83,8 +234,9 @@ def repeated_units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     and the kept occurrence: ``first_<id>`` and ``first_start``.
 
     Null and empty texts have no units; a text whose units are all new has no
-    row.  Of repeated rows the first stored one stays.  Other columns are not
-    read; texts are read whole.  A common unit is one row per task before the
+    row.  Rows of one document may overlap, as a sentence and its line; windows of
+    one passage are one row.  Of repeated rows the first stored one stays.  Other
+    columns are not read; texts are read whole.  A common unit is one row per task before the
     digests meet.  ``docs`` is a stored table."""
     return _repeats(docs, id_col, text_col).select(F.col("_id").alias(id_col), "start", "end", "n_words", F.col("first_id").alias(f"first_{id_col}"), "first_start")
 
@@ -104,7 +256,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 at, left = 0, []
                 for c in cut or ():
                     left.append({"start": at, "end": c["start"]})
-                    at = c["end"]
+                    at = max(at, c["end"])
                 left = [p for p in [*left, {"start": at, "end": len(text or "")}] if p["end"] > p["start"]]
                 pieces.append(left)
                 texts.append(None if text is None else "".join(text[p["start"] : p["end"]] for p in left))
