@@ -1,7 +1,8 @@
 """Secret scanning with DataFrame and SQL functions only.
 
 A regular expression finds candidates: runs of 16 and more key characters with a
-digit, and shorter values that are assigned to a telling name.  Each candidate
+digit, issued keys by their prefix, values that are assigned to a telling name and
+passwords before the host of a URL.  Each candidate
 gets features (length, character transitions, entropy, dictionary coverage,
 path, neighbouring words) and a random forest removes the false positives.  The
 forest is fitted on labelled findings: `labelled_findings` writes PER_CASE
@@ -29,11 +30,16 @@ MARK = "[SECRET]"
 
 _NAMES = r"password|passwd|pwd|passphrase|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|auth|credentials?|bearer"
 _KEY = r"A-Za-z0-9+/_\-"
-#: A run of key characters with a digit, or a shorter value behind a telling name.
+_ISSUED = r"AKIA|ASIA|AIza|gh[pousr]_|github_pat_|glpat-|sk_live_|sk-|rk_live_|xox[abprs]-|eyJ|SG\.|ya29\."
+_GAP = r"[ \t]{0,8}"
+#: An issued key, a run of key characters with a digit, the password of ``://user:password@host``, or a value behind a telling name.
 CANDIDATE = (
-    rf"(?<![{_KEY}])(?=[A-Za-z+/_\-]*+[0-9])[{_KEY}]{{16,}}+={{0,2}}"
-    # The short look behind spares most places the long one.
-    r"|(?<=[=:][\"' ]{0,2})(?<=(?i:password|passwd|pwd|secret|token|api_key|apikey)[=:]{1,2}[\"' ]{0,2})[^\s\"',;<>]{8,}+"
+    rf"(?<![{_KEY}])(?:{_ISSUED})[{_KEY}]{{12,}}+={{0,2}}"
+    rf"|(?<![{_KEY}])(?=[A-Za-z+/_\-]*+[0-9])[{_KEY}]{{16,}}+={{0,2}}"
+    r"|(?<=:)(?<=://[^\s/:@\"'<>]{0,64}:)[^\s@/\"'<>]++(?=@)"
+    # The short looks behind spare most places the long one.
+    rf"|(?<=[=:>\"'` \t])(?<=[=:>]{_GAP}[\"'`]?)(?<=(?i:{_NAMES})[\"'`]?{_GAP}(?:=>|[=:]{{1,2}}){_GAP}[\"'`]?)[^\s\"'`,;<>]{{8,}}+"
+    r"|(?<=[rR][ \t]{1,8})(?<=(?i:bearer)[ \t]{1,8})[^\s\"'`,;<>]{8,}+"
 )
 #: Words of names, paths and placeholders.
 DICTIONARY = (
@@ -43,11 +49,11 @@ DICTIONARY = (
 )
 _NEAR = rf"(?i)(?:{_NAMES})[\"']?\s*(?:[=:]+|is)?\s*[\"'`]?$"
 _IDENTIFIER = r"(?i)(?:commit|sha-?\d*|md5|hash|digest|checksum|etag|uuid|guid|revision|build|version|isbn|issn|order|invoice|card|phone|tel|number|ticket|ref)[\w ]{0,12}[=:#]?\s*[\"'`(]?$"
-_PREFIX = r"^(?:AKIA|ASIA|AIza|gh[pousr]_|glpat-|sk_live_|sk-|rk_live_|xox[abprs]-|eyJ|SG\.|ya29)"
+_PREFIX = rf"^(?:{_ISSUED})"
 
 FEATURES = [
     "length", "digits", "uppers", "lowers", "others", "transitions", "distinct", "entropy", "hex_only", "digits_only",
-    "dictionary", "slashes", "hyphens", "in_path", "in_url", "doc_path", "named", "identifier", "quoted", "prefix",
+    "dictionary", "slashes", "hyphens", "in_path", "in_url", "doc_path", "named", "identifier", "quoted", "prefix", "userinfo",
 ]
 
 
@@ -84,6 +90,7 @@ def features(found: DataFrame, secret: str = "secret", left: str = "left", right
         "identifier": flag(before.rlike(_IDENTIFIER)),
         "quoted": flag(before.rlike("[\"'`=:]$")),
         "prefix": flag(s.rlike(_PREFIX)),
+        "userinfo": flag(before.rlike(r"://[^\s/:@]*:$") & after.startswith("@")),
     }
     return found.withColumns({k: v.cast("double") for k, v in own.items()})
 
@@ -100,6 +107,14 @@ def labelled_findings(spark: SparkSession) -> DataFrame:
     say = lambda *x: F.concat(*(y if isinstance(y, Column) else F.lit(y) for y in x))
     names = F.split(F.lit("password passwd secret token api_key access_key auth credential"), " ")
     name = F.element_at(names, (F.col("id") % 8 + 1).cast("int"))
+    seps = F.split(F.lit('=|: |= | = "|": "|: "|:'), "[|]")
+    sep = F.element_at(seps, (F.col("id") % 7 + 1).cast("int"))
+    telling = F.split(F.lit("password db_password api-key access_key passphrase private_key secret credentials auth token pwd"), " ")
+    told = say(F.element_at(telling, (F.col("id") % 11 + 1).cast("int")), sep)
+    letters = lambda salt, n: F.translate(b64(salt, n), "0123456789", "qWeRtYuIoP")
+    plain = F.element_at(F.split(F.lit("required forgotten information something protected whatever available necessary invalid! expired-now"), " "), (F.col("id") % 10 + 1).cast("int"))
+    code = F.element_at(F.split(F.lit("${PASSWORD} os.environ[ getToken() self.password config.get( {{secret}} ******** process.env.TOKEN"), " "), (F.col("id") % 8 + 1).cast("int"))
+    scheme = F.element_at(F.split(F.lit("postgres:// https:// mysql:// redis:// amqp://"), " "), (F.col("id") % 5 + 1).cast("int"))
     varied = F.substring(d("v"), 1, (16 + F.col("id") % 33).cast("int"))
     cases = [
         # secrets
@@ -114,7 +129,19 @@ def labelled_findings(spark: SparkSession) -> DataFrame:
         (1, say("xoxb-", digits("g", 11), "-", b64("g", 24)), say(word("l"), " "), say("")),
         (1, say("eyJ", b64("h", 60)), say("Authorization: Bearer "), say("")),
         (1, say("AIza", b64("i", 35)), say(word("l"), " "), say("")),
+        (1, say("ghp_", letters("i", 36)), say(word("l"), " "), say(" ", word("r"))),
+        (1, say(F.initcap(word("a")), digits("b", 2), F.initcap(word("c")), "!"), told, say("")),
+        (1, say(F.substring(letters("j", 9), 1, 4), digits("k", 1), F.lower(letters("l", 8))), told, say(" ", word("r"))),
+        (1, say(word("a"), digits("m", 1), word("c")), told, say("")),
+        (1, F.substring(b64("n", 12), 1, (10 + F.col("id") % 3).cast("int")), told, say("")),
+        (1, F.substring(b64("o", 12), 1, (10 + F.col("id") % 3).cast("int")), say(word("l"), " Bearer "), say("")),
+        (1, b64("p", 10), say(scheme, word("u"), ":"), say("@", word("h"), ".org")),
+        (1, say(word("a"), digits("q", 2), word("c")), say(scheme, word("u"), ":"), say("@", word("h"))),
+        (1, say("p", digits("r", 1), "ssw", digits("s", 1), "rd"), say(scheme, "u:"), say("@h/db")),
         # look-alikes
+        (0, plain, told, say(" ", word("r"))),
+        (0, code, told, say("")),
+        (0, plain, say("the bearer "), say(" ", word("r"))),
         (0, hexa("j", 40), say("commit "), say(" ", word("r"))),
         (0, hexa("k", 32), say("md5: "), say("")),
         (0, hexa("l", 64), say("sha256 checksum "), say("")),
