@@ -48,7 +48,7 @@ def _features(block: Leaf) -> list[int]:
     size = min(n.bit_length(), 9)
     link = 0 if not block.linked else 1 + min(4, 5 * block.linked // len(text))
     tags = block.tags
-    low = text[:200].lower()
+    low = text.lower()
     return [
         _TAG_AT.get(block.tag, 0), inner, side,
         *(int(t in tags) for t in _ANCESTORS),
