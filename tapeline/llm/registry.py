@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tapeline.plans.registry import Query
 
-from . import bpe, classify, decontam, extract, lm, pii, quality, secrets, simhash, substrings
+from . import bpe, classify, codes, decontam, extract, lm, near_vectors, pii, quality, secrets, simhash, substrings, trie
 
 QUERIES: dict[str, Query] = {}
 
@@ -36,3 +36,6 @@ register("op7_secret_scan", lambda spark, d: secrets.scan(table(spark, d, "docum
 register("op6_quality_classifier", lambda spark, d: classify.quality(table(spark, d, "documents"), table(spark, d, "labels")))
 register("op4_html_extraction", lambda spark, d: extract.extract(table(spark, d, "pages")))
 register("op9_substring_dedup", lambda spark, d: substrings.repeated_units(table(spark, d, "documents")))
+register("op11_near_vectors", lambda spark, d: near_vectors.near_duplicates(table(spark, d, "embeddings")), near_vectors.SQL)
+register("op12_vector_codes", lambda spark, d: codes.compress(table(spark, d, "embeddings")), codes.SQL)
+register("op13_prefix_trie", lambda spark, d: trie.prefix_trie(table(spark, d, "conversations")), trie.SQL)
