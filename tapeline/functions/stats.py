@@ -36,3 +36,11 @@ def z_two_proportions(p1: Column, n1: Column, p2: Column, n2: Column) -> Column:
 def rate(c: Column) -> Column:
     """Share of True among non-null values."""
     return F.avg(c.cast("double"))
+
+
+def corr(a: str | Column, b: str | Column) -> Column:
+    """Pearson correlation of the pairs without a NULL; NULL where a side does not vary (``F.corr`` raises in ANSI mode)."""
+    a, b = col(a), col(b)
+    both = a.isNotNull() & b.isNotNull()
+    x, y = F.when(both, a), F.when(both, b)
+    return ratio(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))

@@ -5,11 +5,14 @@ from __future__ import annotations
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import scan, stats
+from .. import session
+from ..functions import ranks, scan, stats
 from ..functions import windows as w
+from . import asof_events as A
+from . import asof_patterns as AP
 from . import candles as C
 from . import composites as CO
 from . import indicators as I
@@ -18,10 +21,10 @@ from . import regimes as R
 from . import study as S
 from . import volume as VOL
 
-COMPONENTS = ["trend", "multi_timeframe", "regime", "rsi", "macd", "template", "candles", "volume", "relative_strength"]
+COMPONENTS = list(CO.POSTURE_WEIGHTS)
 HORIZONS = (5, 20, 60)
-# fixed value: the study reads its trend over a chart of so many bars
-CHART = 260
+# fixed value: the study reads trend, patterns and volume over a chart of so many bars
+CHART = AP.CHART
 
 
 def _slope(n: int):
@@ -33,11 +36,11 @@ def _slope(n: int):
 
 
 def posture_series(bars: DataFrame, benchmark: DataFrame, start: int = 260, every: int = 3) -> DataFrame:
-    """Component values on every ``every``-th bar from ``start``.
+    """The ten component values on every ``every``-th bar from ``start``; an absent component is NULL.
 
-    Frames end on the bar itself, so nothing later is read.  Candles carry
-    their unscaled vote (edges are an in-sample table) and chart patterns are
-    left out."""
+    Nothing after the bar is read: frames end on it, candles are scaled by the
+    edge their pattern had shown by then, and chart patterns are those of the
+    chart that ends there."""
     keep = bars.columns
     x = joins.with_benchmark(bars, benchmark).withColumns({"__i": w.bar_no()})
     x = I.rsi(x)
@@ -53,16 +56,20 @@ def posture_series(bars: DataFrame, benchmark: DataFrame, start: int = 260, ever
             "__lo": w.roll(F.min, "close", 252),
             "__hi": w.roll(F.max, "close", 252),
             "__rs": w.ret("close", w.lag("close", 125)) - w.ret("bench", w.lag("bench", 125)),
+            "__yr": w.ret("close", w.lag("close", R.TEMPLATE_MIN - 1)),
+            "__vol": F.sum(F.coalesce("volume", F.lit(0.0))).over(tail),
         }
     ).withColumn("__a200p", w.lag("__a200", R.TEMPLATE_LAG))
-    x = x.join(_votes(bars), ["symbol", "ts"], "left")
-    x = x.where((F.col("__i") >= start) & ((F.col("__i") - start) % every == 0))
+    sampled = lambda i: (F.col(i) >= start) & ((F.col(i) - start) % every == 0)
+    x = x.where(sampled("__i"))
+    for votes in _votes(bars, sampled("i")):
+        x = x.join(votes.withColumnRenamed("i", "__i"), ["symbol", "__i"], "left")
     c, m50, m150, m200 = (F.col(n) for n in ("close", "__a50", "__a150", "__a200"))
     sign = lambda s: F.when(s > I.FLAT, 1.0).when(s < -I.FLAT, -1.0).when(s.isNotNull(), 0.0)
     mtf = [sign(F.col(f"__s{b}")) for _, b in R.HORIZONS]
     crit = [
         (c > m150) & (c > m200), m150 > m200, m200 > F.col("__a200p"), (m50 > m150) & (m50 > m200), c > m50,
-        c >= 1.30 * F.col("__lo"), c >= 0.75 * F.col("__hi"), F.col("__rs") > 0,
+        c >= 1.30 * F.col("__lo"), c >= 0.75 * F.col("__hi"), F.coalesce("__rs", "__yr") > 0,
     ]
     score = sum((w.flag(k).cast("int") for k in crit), F.lit(0))
     base = (score - 4) / 4.0
@@ -79,54 +86,70 @@ def posture_series(bars: DataFrame, benchmark: DataFrame, start: int = 260, ever
         F.when(r >= 70, -0.6).when(r <= 30, 0.6).otherwise((r - 50) / 40 * 0.4).alias("rsi"),
         F.when(F.col("__m") > F.col("__ms"), 0.6).otherwise(-0.6).alias("macd"),
         F.when(w.flag(stage2), F.greatest(base, F.lit(0.5))).when(w.flag(stage4), F.least(base, F.lit(-0.5))).otherwise(base).alias("template"),
-        F.coalesce("__cv", F.lit(0.0)).alias("candles"),
-        F.coalesce("__vv", F.lit(0.0)).alias("volume_vote"),
+        "candles",
+        F.when(F.col("__vol") != 0, F.coalesce("volume_vote", F.lit(0.0))).alias("volume_vote"),
+        "patterns",
         w.clip(F.col("__rs") / 0.20, -1.0, 1.0).alias("relative_strength"),
     )
 
 
-def _votes(bars: DataFrame) -> DataFrame:
-    """Votes of the three newest candle and volume events within 40 bars of
-    every bar, from arrays carried over a bounded frame."""
-    past = w.by().rowsBetween(-39, 0)
-    x = C.with_hits(bars).withColumn(
-        "__h", F.transform("hits", lambda h: F.when(h["bias"] == "bullish", 1.0).when(h["bias"] == "bearish", -1.0).otherwise(0.0))
-    )
-    ev = VOL.events(bars, None).where(F.col("name") != "Volume Dry-Up")
-    v = F.when(F.col("name") == "Breakout on Volume", 0.6).when(F.col("name") == "Breakdown on Volume", -0.6).when(F.col("bias") == "bullish", 0.2).otherwise(-0.2)
-    ev = ev.groupBy("symbol", "ts").agg(F.array_sort(F.collect_list(F.struct("rank", v.alias("v")))).alias("__e"))
-    x = x.join(ev.select("symbol", "ts", F.transform("__e", lambda e: e["v"]).alias("__v")), ["symbol", "ts"], "left")
-    # a bar's own events read newest first once the bars are reversed
-    x = x.withColumns({"__hs": F.collect_list("__h").over(past), "__vs": F.collect_list("__v").over(past)})
-    top = lambda a: F.slice(F.flatten(F.reverse(a)), 1, 3)
-    x = x.withColumns({"__ht": top(F.col("__hs")), "__vt": top(F.col("__vs"))})
-    wsum = F.aggregate(F.transform("__ht", lambda b, k: 1.0 - 0.3 * k), F.lit(0.0), lambda a, b: a + b)
-    vote = F.aggregate(F.transform("__ht", lambda b, k: b * 0.4 * (1.0 - 0.3 * k)), F.lit(0.0), lambda a, b: a + b)
-    return x.select("symbol", "ts", w.ratio(vote, wsum).alias("__cv"), F.aggregate("__vt", F.lit(0.0), lambda a, b: a + b).alias("__vv"))
+def _votes(bars: DataFrame, sampled: Column) -> list[DataFrame]:
+    """Candle, volume and chart pattern votes of the sampled bars, each (symbol, i, value)."""
+    b = bars.withColumn("i", w.bar_no())
+    asked = b.where(sampled).select("symbol", "i")
+    # Stored, as ordinals, outcomes and questions each read all events.
+    hits = session.as_table(C.with_hits(b).select("symbol", "i", F.inline("hits")).drop("strength"), "candle_events")
+    volume = VOL.all_events(bars).join(b.select("symbol", "ts", "i"), ["symbol", "ts"]).select("symbol", "i", "rank", "name", "bias")
+    volume = session.as_table(volume, "volume_events")
+    return [
+        A.candle_votes(b.select("symbol", "ts", "i", "close"), hits, asked),
+        A.volume_votes(volume, asked).withColumnRenamed("volume", "volume_vote"),
+        AP.pattern_votes(b.select("symbol", "ts", "i", "close"), asked),
+    ]
 
 
 def scored_series(bars: DataFrame, benchmark: DataFrame, **kw) -> DataFrame:
-    """Posture per sampled bar with forward returns and its components."""
-    f = S.forward(bars.select("symbol", "ts", "close"), HORIZONS).drop("close")
+    """Posture per sampled bar whose longest forward return exists, with its components and forward returns."""
+    f = S.forward(bars.select("symbol", "ts", "close"), HORIZONS).drop("close").where(F.col(f"fwd_{max(HORIZONS)}").isNotNull())
     p = posture_series(bars.select("symbol", "ts", "open", "high", "low", "close", "volume"), benchmark, **kw)
     p = p.drop("open", "high", "low", "close", "volume").withColumnRenamed("volume_vote", "volume")
-    s = CO.posture_score(p.select("symbol", "ts", *COMPONENTS, F.lit(None).cast("double").alias("patterns")))
-    return s.join(p.select("symbol", "ts", *COMPONENTS), ["symbol", "ts"]).join(f, ["symbol", "ts"])
+    p = p.join(f, ["symbol", "ts"])
+    s = CO.posture_score(p.select("*", *(F.col(n).alias(f"__{n}") for n in COMPONENTS)))
+    return s.withColumnsRenamed({f"__{n}": n for n in COMPONENTS})
 
 
 def component_correlations(scored: DataFrame) -> DataFrame:
-    """Correlation of every component and the score with each forward return."""
+    """Correlation of every component (absent ones count 0) and the score with each forward return."""
     names = [*COMPONENTS, "score"]
-    aggs = [F.corr(n, f"fwd_{h}").alias(f"{n}__{h}") for n in names for h in HORIZONS]
-    g = scored.agg(*aggs)
+    x = scored.fillna(0.0, COMPONENTS)
+    aggs = [stats.corr(n, f"fwd_{h}").alias(f"{n}__{h}") for n in names for h in HORIZONS]
+    g = x.agg(*aggs)
     cells = [F.struct(F.lit(n).alias("component"), *[F.col(f"{n}__{h}").alias(f"corr_{h}") for h in HORIZONS]) for n in names]
     return g.select(F.inline(F.array(*cells)))
 
 
 def returns_by_verdict(scored: DataFrame, h: int = 20) -> DataFrame:
+    """Forward returns after each verdict and after all; the median by exact counts of distinct returns."""
     f = F.col(f"fwd_{h}")
-    x = scored.where(f.isNotNull()).withColumn("group", F.explode(F.array(F.col("verdict"), F.lit("ALL"))))
-    return x.groupBy("group").agg(F.count(f).alias("n"), F.avg(f).alias("mean_fwd"), stats.rate(f > 0).alias("win_rate"))
+    x = scored.where(f.isNotNull()).select(f.alias("fwd"), F.explode(F.array(F.col("verdict"), F.lit("ALL"))).alias("group"))
+    g = x.groupBy("group").agg(F.count("fwd").alias("n"), F.avg("fwd").alias("mean_fwd"), stats.rate(F.col("fwd") > 0).alias("win_rate"))
+    return g.join(ranks.exact_quantiles(x, ["group"], "fwd", {"median_fwd": 0.5}), "group")
+
+
+def walkforward_verdicts(scored: DataFrame, lookback: int = 120, every: int = 8, horizons=(5, 20)) -> DataFrame:
+    """Per symbol and horizon over its last sampled bars: mean return after each verdict, after all, and the score's correlation.
+
+    ``scored`` holds every bar; of the newest ``lookback`` bars each ``every``-th one is taken."""
+    last = Window.partitionBy("symbol")
+    x = scored.withColumn("__first", F.greatest(F.min("i").over(last), F.max("i").over(last) + max(HORIZONS) + 1 - lookback))
+    x = x.where((F.col("i") >= F.col("__first")) & ((F.col("i") - F.col("__first")) % every == 0))
+    cells = [F.struct(F.lit(h).cast("long").alias("horizon"), F.col(f"fwd_{h}").alias("fwd")) for h in horizons]
+    x = x.select("symbol", "verdict", "score", F.inline(F.array(*cells)))
+    of = lambda v: [F.count(F.when(F.col("verdict") == v, 1)).alias(f"n_{v.lower()}"), F.avg(F.when(F.col("verdict") == v, F.col("fwd"))).alias(f"mean_{v.lower()}")]
+    n = F.count("fwd")
+    return x.groupBy("symbol", "horizon").agg(
+        n.alias("n"), *of("BUY"), *of("HOLD"), *of("SELL"), F.avg("fwd").alias("mean_all"), F.when(n > 2, stats.corr("score", "fwd")).alias("score_corr")
+    )
 
 
 def walkforward_logistic(scored: DataFrame, split: str, embargo_days: int = 28, h: int = 20) -> DataFrame:
@@ -147,6 +170,6 @@ def walkforward_logistic(scored: DataFrame, split: str, embargo_days: int = 28,
         F.count(F.lit(1)).alias("n_test"),
         F.greatest(up, 1 - up).alias("base_rate"),
         F.avg((F.col("prediction") == F.col("label")).cast("double")).alias("accuracy"),
-        F.corr("p", f"fwd_{h}").alias("prob_corr"),
-        F.corr("score", f"fwd_{h}").alias("score_corr"),
+        stats.corr("p", f"fwd_{h}").alias("prob_corr"),
+        stats.corr("score", f"fwd_{h}").alias("score_corr"),
     )

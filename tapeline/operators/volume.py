@@ -28,8 +28,8 @@ def _base(df: DataFrame) -> DataFrame:
     ).withColumn("vol_ratio", F.when(F.col("__a50") > 0, F.col("__v") / F.col("__a50")))
 
 
-def events(df: DataFrame, lookback: int | None = LOOKBACK) -> DataFrame:
-    """Spikes, volume-confirmed 20-bar breaks and the two newest dry-ups."""
+def all_events(df: DataFrame, lookback: int | None = None) -> DataFrame:
+    """Spikes, volume-confirmed 20-bar breaks and dry-ups."""
     x = _base(df).withColumn("bars_ago", w.bars_ago())
     if lookback is not None:
         x = x.where(F.col("bars_ago") < lookback)
@@ -57,9 +57,12 @@ def events(df: DataFrame, lookback: int | None = LOOKBACK) -> DataFrame:
         )
         for i, (name, bias, cond, score) in enumerate(rows)
     ]
-    ev = x.select(
-        "symbol", "ts", "bars_ago", F.inline(F.filter(F.array(*hits), lambda h: h.isNotNull()))
-    )
+    return x.select("symbol", "ts", "bars_ago", F.inline(F.filter(F.array(*hits), lambda h: h.isNotNull())))
+
+
+def events(df: DataFrame, lookback: int | None = LOOKBACK) -> DataFrame:
+    """Spikes, volume-confirmed 20-bar breaks and the two newest dry-ups."""
+    ev = all_events(df, lookback)
     spec = Window.partitionBy("symbol", "name").orderBy(F.desc("ts"))
     return (
         ev.withColumn("__n", F.row_number().over(spec))

@@ -1,14 +1,12 @@
-"""Forecast and posture study queries.  Model outputs have no SQL text."""
+"""Forecast queries.  Model outputs have no SQL text."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
 from ..operators import forecast as FC
-from ..operators import posture_study as PS
 from ..functions import windows as w
 from . import panels as P
-from .composites import bench
 from .evaluations import targets
 from .indicators import WS, full
 from .registry import query
@@ -128,27 +126,3 @@ def month_oos_eval(spark, d):
 @query("weekly_direction_eval", "F47")
 def weekly_direction_eval(spark, d):
     return FC.weekly_direction_eval(P.type_px(spark, d), 10, trees=5)
-
-
-def scored(spark, d):
-    return P.shared(spark, d, "posture_series", lambda: PS.scored_series(P.type_px(spark, d), bench(spark, d).select("ts", "close")))
-
-
-@query("posture_series", "F43")
-def posture_series(spark, d):
-    return scored(spark, d)
-
-
-@query("posture_correlations", "F43")
-def posture_correlations(spark, d):
-    return PS.component_correlations(scored(spark, d))
-
-
-@query("posture_returns", "F43 F44")
-def posture_returns(spark, d):
-    return PS.returns_by_verdict(scored(spark, d))
-
-
-@query("posture_logistic", "F43")
-def posture_logistic(spark, d):
-    return PS.walkforward_logistic(scored(spark, d), "1999-01-01")

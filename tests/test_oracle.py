@@ -9,7 +9,7 @@ DATA = "/root/testdata/sf0.001"
 # one query per operator family keeps this suite short; ``oracle.py`` runs all
 SAMPLE = [
     "bars_daily", "calendar", "ema", "macd", "vol_estimators", "candles_recent", "volume_analysis", "resistance_state", "trade_plan", "dip_trades",
-    "position_walk", "sector_pulse", "gap_universe", "look_through", "import_positions_csv", "parse_form4", "stream_bars", "edge_alerts", "chunked_rolling",
+    "position_walk", "sector_pulse", "gap_universe", "look_through", "import_positions_csv", "parse_form4", "stream_bars", "edge_alerts", "chunked_rolling", "posture_series", "posture_returns",
 ]
 
 
