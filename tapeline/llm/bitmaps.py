@@ -1,4 +1,4 @@
-"""A hashed bitmap of fixed size: a filter that may be broadcast whatever the number of keys."""
+"""A hashed bitmap of bounded size: a filter that may be broadcast whatever the number of keys."""
 
 from __future__ import annotations
 
@@ -7,16 +7,21 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: 2**BITS bits are 2 MB; more keys only let more false candidates through, which the join behind it drops.
-BITS = 24
+#: 2**BITS bits are 2 MB, 2**MOST_BITS bits 32 MB; more keys only let more false candidates through, which the join behind it drops.
+BITS, MOST_BITS = 24, 28
 #: Bits of one bucket of Spark's bitmap functions.
 BUCKET = 32768
 
 
-def bitmap(keys: DataFrame, key: str) -> Broadcast:
-    """The bitmap of a column of longs, combined on the executors; at most 512 buckets of 4 KB reach the driver."""
+def bits_for(keys: int) -> int:
+    """Sixteen slots a key, within the bounds."""
+    return min(MOST_BITS, max(BITS, (16 * keys).bit_length()))
+
+
+def bitmap(keys: DataFrame, key: str, bits: int = BITS) -> Broadcast:
+    """The bitmap of a column of longs, combined on the executors; at most 2**bits / 2**15 buckets of 4 KB reach the driver."""
     spark = keys.sparkSession
-    slot = F.shiftrightunsigned(F.col(key), 64 - BITS)
+    slot = F.shiftrightunsigned(F.col(key), 64 - bits)
     parts = (
         keys.where(F.col(key).isNotNull())
         .select(F.floor(slot / BUCKET).cast("long").alias("bucket"), (slot % BUCKET).alias("bit"))
@@ -24,12 +29,12 @@ def bitmap(keys: DataFrame, key: str) -> Broadcast:
         .agg(F.bitmap_construct_agg("bit").alias("bits"))
         .collect()
     )
-    flags = np.zeros(1 << (BITS - 3), np.uint8)
+    flags = np.zeros(1 << (bits - 3), np.uint8)
     for p in parts:
         flags[p.bucket * BUCKET // 8 : (p.bucket + 1) * BUCKET // 8] = np.frombuffer(p.bits, np.uint8)
     return spark.sparkContext.broadcast(flags)
 
 
 def member(flags: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    slot = keys.view(np.uint64) >> np.uint64(64 - BITS)
+    slot = keys.view(np.uint64) >> np.uint64(64 - (len(flags).bit_length() + 2))
     return ((flags[slot >> np.uint64(3)] >> (slot & np.uint64(7)).astype(np.uint8)) & 1).astype(bool)

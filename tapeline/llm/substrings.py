@@ -4,12 +4,14 @@ Units are lines and paragraphs of any length, sentences (a line is cut once more
 after words that end in ``.``, ``!`` or ``?``) of MIN_WORDS words and more, and,
 for a shorter sentence, the shortest runs of sentences from it and up to it that
 are long enough: a repeated run of whole sentences, and so a line of MIN_WORDS
-words, is found by these wherever it is pasted.  A passage that keeps to no line or sentence end is met by its windows of
-WIDTH words.  Only windows that can repeat and are not removed already become
-units: equal windows have the same smallest digest of SHORT words, so those whose
-smallest digest occurs once are left out by a bitmap, and of the others only those
-equal to a window with a word that is still there.  What the bitmaps let through
-too much costs time only.
+words, is found by these wherever it is pasted.  A passage that keeps to no line or sentence end is met in a second pass, by its
+windows of WIDTH words.  Equal windows have the same smallest digest of SHORT
+words, so only windows whose smallest digest occurs twice can repeat; of these,
+only those that two places hold with a word still there become units, as a window
+that one place alone still holds is left once.
+
+Before either pass stores a unit, its digests are counted over all documents and
+the repeated ones fill a bitmap; what that lets through too much costs disk only.
 
 Units are normalised (A-Z lower-cased, white space one blank) and hashed to 128
 bits; digests are grouped over all documents and the earliest occurrence stays:
@@ -28,9 +30,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .bitmaps import bitmap, member
+from .bitmaps import bitmap, bits_for, member
 from .simhash import xxh64
-from .tables import as_table, fresh, with_row
+from .tables import as_table, drop_table, fresh, with_row
 from .words import LEADS, LOWER, NOT_SPACE, Words, chunks, flat, offsets_of
 
 MIN_WORDS = 8
@@ -129,8 +131,8 @@ def _placed(w: Words, data: np.ndarray, a: np.ndarray, b: np.ndarray) -> list[np
     return [row, points[w.starts[a]] - base, points[w.ends[b]] - base, b - a + 1]
 
 
-def text_units(text: pa.Array) -> dict[str, np.ndarray]:
-    """Row, place (code points), number of words and digest of every unit but the windows."""
+def text_units(text: pa.Array, repeated: np.ndarray | None = None) -> dict[str, np.ndarray]:
+    """Row, place (code points), number of words and digest of every unit but the windows; with ``repeated``, of those in that bitmap."""
     data, offsets = flat(text)
     w = Words(LOWER[data], offsets, NOT_SPACE)
     if not len(w.starts):
@@ -138,7 +140,11 @@ def text_units(text: pa.Array) -> dict[str, np.ndarray]:
     joined, at, last = w.joined()
     a, b = _spans(w, data, last)
     size = at[b] + (w.ends - w.starts)[b] - at[a]
-    digests = (xxh64(joined, at[a], size, seed).view(np.int64) for seed in SEEDS)
+    first = xxh64(joined, at[a], size, SEEDS[0]).view(np.int64)
+    if repeated is not None:
+        use = member(repeated, first)
+        a, b, size, first = a[use], b[use], size[use], first[use]
+    digests = [first, xxh64(joined, at[a], size, SEEDS[1]).view(np.int64)]
     return dict(zip(("row", *_FIELDS), [*_placed(w, data, a, b), *digests], strict=True))
 
 
@@ -172,15 +178,25 @@ def text_windows(text: pa.Array, repeating: np.ndarray, gone: pa.Array | None =
     return dict(zip(("row", *_FIELDS, "at"), [*_placed(w, data, a, a + WIDTH - 1), *digests, a - w.rows[w.row_of[a]]], strict=True))
 
 
-def _repeating(docs: DataFrame, text_col: str) -> Broadcast:
-    """The bitmap of the smallest digests that more than one place holds."""
+#: Kinds of counted digests.
+_UNIT, _SEED, _WINDOW = 0, 1, 2
+
+
+def _repeated(docs: DataFrame, name: str, make) -> dict[int, Broadcast]:
+    """Bitmaps, by kind, of the digests that occur twice or more among those that ``make`` yields as (kind, digests)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in chunks(batches, text_col):
-            yield pa.RecordBatch.from_arrays([pa.array(_chosen(part.column(text_col)))], ["h"])
+        for part in chunks(batches, "_text"):
+            for kind, digests in make(part):
+                h, n = np.unique(digests, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), kind, np.int32)), pa.array(h), pa.array(n)], ["kind", "h", "n"])
 
-    found = docs.select(text_col).mapInArrow(run, "h long").groupBy("h").agg(F.count("*").alias("n")).where("n > 1")
-    return bitmap(found, "h")
+    counted = docs.mapInArrow(run, "kind int, h long, n long").groupBy("kind", "h").agg(F.sum("n").alias("n"))
+    found = as_table(counted.where("n > 1").select("kind", "h"), name)
+    sizes = {r.kind: r.n for r in found.groupBy("kind").agg(F.count("*").alias("n")).collect()}
+    maps = {kind: bitmap(found.where(F.col("kind") == kind), "h", bits_for(sizes.get(kind, 0))) for kind in (_UNIT, _SEED, _WINDOW)}
+    drop_table(found)
+    return maps
 
 
 def _table(docs: DataFrame, keep: list[str], text_col: str, names: tuple[str, ...], make) -> DataFrame:
@@ -196,29 +212,32 @@ def _table(docs: DataFrame, keep: list[str], text_col: str, names: tuple[str, ..
     return docs.mapInArrow(run, schema)
 
 
-def _later(found: DataFrame, name: str, *more: str) -> DataFrame:
-    """The units that an earlier one repeats, with the place of that one."""
+def _later(found: DataFrame, name: str, *more: str) -> tuple[DataFrame, DataFrame]:
+    """The units that an earlier one repeats, with the place of that one; and the stored table of the earliest ones."""
     rank = F.struct(F.col("_id").isNull().alias("none"), F.col("_id").alias("id"), F.col("_row").alias("row"), "start", "end", *more)
     first = found.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min(rank).alias("first")).where("n > 1").drop("n")
     # A table of its own leaves both sides of the join plain, so that a common unit's rows can be split.
     first = as_table(first, name)
     both = found.join(first, ["h1", "h2"]).where((F.col("first.row") != F.col("_row")) | (F.col("first.end") <= F.col("start")))
-    return both.select("_row", "_id", "start", "end", "n_words", *more, *(F.col(f"first.{c}").alias(f"first_{c}") for c in ("id", "row", "start", *more)))
+    return both.select("_row", "_id", "start", "end", "n_words", *more, *(F.col(f"first.{c}").alias(f"first_{c}") for c in ("id", "row", "start", *more))), first
 
 
 def _repeats(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Every unit that an earlier one repeats: _row, _id, start, end, n_words, first_id, first_start."""
     own = with_row(docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")), "_row")
     keep, names = ["_id", "_row"], ("_row", "_id", "start", "end", "n_words", "first_id", "first_start")
-    found = as_table(_table(own, keep, "_text", _FIELDS, lambda p: text_units(p.column("_text"))), "text_units")
-    later = as_table(_later(found, "first_units").select(*names), "repeated_units")
+    maps = _repeated(own, "digests", lambda p: [(_UNIT, text_units(p.column("_text"))["h1"]), (_SEED, _chosen(p.column("_text")))])
+    repeated, repeating = maps[_UNIT], maps[_SEED]
+    found = as_table(_table(own, keep, "_text", _FIELDS, lambda p: text_units(p.column("_text"), repeated.value)), "text_units")
+    both, first = _later(found, "first_units")
+    later = as_table(both.select(*names), "repeated_units")
+    drop_table(found), drop_table(first)
 
-    repeating = _repeating(docs, text_col)
     gone = later.groupBy("_row").agg(F.collect_list(F.struct("start", "end")).alias("_gone"))
     rest = own.where(F.length("_text") >= 2 * WIDTH - 1).join(gone, "_row", "left").select("_text", "_gone")
-    wanted = bitmap(_table(rest, [], "_text", ("h1",), lambda p: text_windows(p.column("_text"), repeating.value, p.column("_gone"))), "h1")
-    windows = _table(own, keep, "_text", (*_FIELDS, "at"), lambda p: text_windows(p.column("_text"), repeating.value, wanted=wanted.value))
-    both = _later(as_table(windows, "text_windows"), "first_windows", "at")
+    wanted = _repeated(rest, "window_digests", lambda p: [(_WINDOW, text_windows(p.column("_text"), repeating.value, p.column("_gone"))["h1"])])[_WINDOW]
+    windows = as_table(_table(own, keep, "_text", (*_FIELDS, "at"), lambda p: text_windows(p.column("_text"), repeating.value, wanted=wanted.value)), "text_windows")
+    both, first = _later(windows, "first_windows", "at")
     # Windows that go on from one another in both documents are one passage.
     passage = ["_row", "_id", "first_id", "first_row", (F.col("first_at") - F.col("at")).alias("shift")]
     w = Window.partitionBy("_row", "first_row", F.col("first_at") - F.col("at")).orderBy("at")
@@ -226,7 +245,9 @@ def _repeats(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     merged = both.withColumn("new", new).withColumn("k", F.sum("new").over(w)).groupBy(*passage, "k").agg(
         F.min("start").alias("start"), F.max("end").alias("end"), (F.max("at") - F.min("at") + WIDTH).alias("n_words"), F.min("first_start").alias("first_start")
     )
-    return later.unionByName(merged.select(*names))
+    passages = as_table(merged.select(*names), "repeated_passages")
+    drop_table(windows), drop_table(first)
+    return later.unionByName(passages)
 
 
 def repeated_units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -7,7 +7,15 @@ from pyspark.sql import functions as F
 
 from tapeline.session import as_table
 
-__all__ = ["as_table", "crc_mod", "fresh", "with_row"]
+__all__ = ["as_table", "crc_mod", "drop_table", "fresh", "with_row"]
+
+
+def drop_table(df: DataFrame) -> None:
+    """Deletes what ``as_table`` wrote, once nothing reads it any more."""
+    spark = df.sparkSession
+    for file in df.inputFiles()[:1]:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(file).getParent()
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def fresh(df: DataFrame, *names: str) -> list[str]:

@@ -289,25 +289,46 @@ def test_secrets(spark):
         assert (cut[r.doc_id] or "") == text
 
 
+def _units(text):
+    """First and last word of every unit but the windows, by its definition."""
+    found = list(WORD.finditer(text))
+    breaks = [text.count("\n", x.end(), y.start()) for x, y in zip(found, found[1:])] + [2]
+    whole = [k for k, m in enumerate(found) if m.group()[-1] in ".!?" or breaks[k]]
+
+    def pieces(ends):
+        return list(zip([0, *[e + 1 for e in ends[:-1]]], ends)) if ends else []
+
+    sentences, lines, paragraphs = (pieces(e) for e in (whole, [k for k, n in enumerate(breaks) if n], [k for k, n in enumerate(breaks) if n > 1]))
+    out = {p for p in paragraphs if p not in lines} | {(a, b) for a, b in lines if b - a + 1 < substrings.MIN_WORDS}
+    for k, (a, b) in enumerate(sentences):
+        if b - a + 1 >= substrings.MIN_WORDS:
+            out.add((a, b))
+            continue
+        ahead = [y for _, y in sentences[k:] if y - a + 1 >= substrings.MIN_WORDS]
+        behind = [x for x, _ in sentences[: k + 1] if b - x + 1 >= substrings.MIN_WORDS]
+        out |= {(a, y) for y in ahead[:1]} | {(x, b) for x in behind[-1:]}
+    return [(found[a].start(), found[b].end(), b - a + 1, " ".join(m.group() for m in found[a : b + 1]).translate(LOWER)) for a, b in out]
+
+
 def test_repeated_units(spark, docs, rows):
-    seen, want = {}, set()
-    for r in sorted(rows, key=lambda r: r.doc_id):
-        text, unit = r.text or "", []
-        found = list(WORD.finditer(text))
-        for i, m in enumerate(found):
-            unit.append(m)
-            if i + 1 == len(found) or m.group()[-1] in ".!?" or "\n" in text[m.end() : found[i + 1].start()]:
-                if len(unit) >= substrings.MIN_WORDS:
-                    key = " ".join(x.group() for x in unit).translate(LOWER)
-                    if key in seen:
-                        want.add((r.doc_id, unit[0].start(), unit[-1].end(), len(unit), *seen[key]))
-                    else:
-                        seen[key] = (r.doc_id, unit[0].start())
-                unit = []
-    assert {tuple(r) for r in registry.QUERIES["op9_substring_dedup"].run(spark, SMALL).collect()} == want
-    whole = {r.doc_id: r.text for r in rows}
+    """Every repeated sentence, run, line and paragraph; all other rows are passages of a window's width or more."""
+    places = {}
+    for r in rows:
+        for start, end, n, key in _units(r.text or ""):
+            places.setdefault(key, []).append((r.doc_id, start, end, n))
+    want = set()
+    for found in places.values():
+        first = min(found)
+        want |= {(*p, *first[:2]) for p in found if p != first and (p[0] != first[0] or first[2] <= p[1])}
+    got = {tuple(r) for r in registry.QUERIES["op9_substring_dedup"].run(spark, SMALL).collect()}
+    assert want and want <= got
+    text = {r.doc_id: r.text for r in rows}
+    for doc, start, end, n, first_doc, first_start in got - want:
+        same = " ".join(WORD.findall(text[doc][start:end])).translate(LOWER)
+        assert n >= substrings.WIDTH and len(WORD.findall(same)) == n
+        assert " ".join(WORD.findall(text[first_doc][first_start:])[:n]).translate(LOWER) == same
     for r in substrings.remove_repeats(docs).collect():
-        assert r.text == "".join(whole[r.doc_id][p.start : p.end] for p in r.kept_spans)
+        assert r.text == "".join(text[r.doc_id][p.start : p.end] for p in r.kept_spans)
 
 
 def test_pipeline_against_its_parts(spark, docs, rows):
