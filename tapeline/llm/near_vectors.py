@@ -131,14 +131,12 @@ def _ball(centers: np.ndarray, radii: np.ndarray, weights: np.ndarray) -> tuple[
     return center, float((np.sqrt(((centers - center) ** 2).sum(1)) + radii).max())
 
 
-_NODE = "at long, n long, first long, low array<double>, high array<double>, center array<double>, radius double"
-
-
 def _blocks(ordered: DataFrame, label: T.StructField, axes: dict[int, np.ndarray], kind: str) -> DataFrame:
     """Runs of at most BLOCK sorted vectors of one label and length, with box and ball; ``part`` and ``seq`` keep the order."""
     sent = ordered.sparkSession.sparkContext.broadcast(axes)
-    own = T._parse_datatype_string("part long, seq long, n long, first long, low array<double>, high array<double>, center array<double>, radius double, rows binary, v binary")
-    schema = T.StructType([label, T.StructField("size", T.IntegerType()), *own.fields])
+    many, whole = T.ArrayType(T.DoubleType()), T.LongType()
+    kinds = {"part": whole, "seq": whole, "n": whole, "first": whole, "low": many, "high": many, "center": many, "radius": T.DoubleType(), "rows": T.BinaryType(), "v": T.BinaryType()}
+    schema = T.StructType([label, T.StructField("size", T.IntegerType()), *(T.StructField(n, t) for n, t in kinds.items())])
 
     def block(held: list[pa.RecordBatch], part: int, seq: int) -> pa.RecordBatch:
         whole = pa.concat_batches(held)
