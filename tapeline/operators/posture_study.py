@@ -35,12 +35,12 @@ def _slope(n: int):
     return F.when(F.count("close").over(spec) >= n, s)
 
 
-def posture_series(bars: DataFrame, benchmark: DataFrame, start: int = 260, every: int = 3) -> DataFrame:
+def posture_series(bars: DataFrame, benchmark: DataFrame, start: int = 260, every: int = 3, facts: bool = False) -> DataFrame:
     """The ten component values on every ``every``-th bar from ``start``; an absent component is NULL.
 
     Nothing after the bar is read: frames end on it, candles are scaled by the
     edge their pattern had shown by then, and chart patterns are those of the
-    chart that ends there."""
+    chart that ends there.  ``facts`` adds rsi_value, cross, passes and stage."""
     keep = bars.columns
     x = joins.with_benchmark(bars, benchmark).withColumns({"__i": w.bar_no()})
     x = I.rsi(x)
@@ -77,6 +77,7 @@ def posture_series(bars: DataFrame, benchmark: DataFrame, start: int = 260, ever
     stage4 = (score <= 2) & (c < m200)
     half = lambda k: F.when(k, 0.5).otherwise(-0.5)
     r = F.col("rsi")
+    cross = F.when(m50 > m200, "golden").when(m200.isNotNull(), "death")
     return x.select(
         *keep,
         F.col("__i").alias("i"),
@@ -90,6 +91,7 @@ def posture_series(bars: DataFrame, benchmark: DataFrame, start: int = 260, ever
         F.when(F.col("__vol") != 0, F.coalesce("volume_vote", F.lit(0.0))).alias("volume_vote"),
         "patterns",
         w.clip(F.col("__rs") / 0.20, -1.0, 1.0).alias("relative_strength"),
+        *([r.alias("rsi_value"), cross.alias("cross"), (score == 8).alias("passes"), F.when(w.flag(stage2), 2).when(w.flag(stage4), 4).cast("long").alias("stage")] if facts else []),
     )
 
 

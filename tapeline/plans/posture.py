@@ -87,7 +87,7 @@ def scored(spark, d):
 
 def scored_daily(spark, d):
     """Every bar of a full chart, for evaluations that choose their own bars."""
-    return P.shared(spark, d, "posture_daily", lambda: PS.scored_series(P.type_px(spark, d), bench(spark, d).select("ts", "close"), every=1))
+    return P.shared(spark, d, "posture_daily", lambda: PS.scored_series(P.type_px(spark, d), bench(spark, d).select("ts", "close"), every=1, facts=True))
 
 
 @query("posture_series", "F43", SERIES + "SELECT * FROM pf")

@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..session import fresh_dir
 from ..streaming import jobs as J
+from ..streaming import stateful as ST
 from . import panels as P
 from .indicators import RSI_WILDER_SQL, gains, numbered, recur
+from .posture import scored_daily, series_ctes
 from .registry import query
+from .trades import _DIP_BARS, walk
 
 EB = P.bars_sql("event")
 DONE = "fin AS MATERIALIZED (SELECT * FROM bars WHERE ts + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 2 HOUR)"
@@ -100,6 +104,87 @@ def online_recurrences(spark, d):
     return spark.read.parquet(J.run_to_table(J.online_recurrences(_bar_stream(spark, d)), "online_recurrences"))
 
 
+def keyed(spark, stream, name: str):
+    """A keyed job drained to a table and read back."""
+    with ST.keyed_state(spark):
+        return spark.read.parquet(J.run_to_table(stream, name))
+
+
+@query(
+    "online_state",
+    "P6",
+    P.with_(
+        EB,
+        DONE,
+        "fx AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts) - 1 AS i FROM fin)",
+        numbered("z AS (SELECT 1)", "fx"),
+        recur({"ema": ("close", "2.0/13")}),
+        recur(gains(14), first="k = 2", name="gl"),
+        "lr AS MATERIALIZED (SELECT symbol, k, CASE WHEN close > 0 AND lag(close) OVER w > 0 THEN ln(close / lag(close) OVER w) ** 2 ELSE 0 END AS r2 FROM b WINDOW w AS (PARTITION BY symbol ORDER BY ts))",
+        recur({"ev": ("r2", "0.06")}, src="lr", first="k = 2", name="vr"),
+        *_DIP_BARS,
+        *walk("dip", "dt"),
+        recursive=True,
+    )
+    + f"""SELECT b.symbol, b.ts, b.close, ema, ev AS ewma_var, {RSI_WILDER_SQL.format(p=14)} AS rsi, dp.rsi2, coalesce(dtw.held, false) AS in_dip, dtw.ret AS dip_ret FROM b JOIN e USING (symbol, k) LEFT JOIN gl USING (symbol, k)
+ LEFT JOIN vr USING (symbol, k) JOIN dp USING (symbol, k) LEFT JOIN dtw ON dtw.symbol = b.symbol AND dtw.i = b.i WHERE b.ts <= (SELECT max(ts) FROM fin) - INTERVAL 1 HOUR""",
+)
+def online_state(spark, d):
+    return keyed(spark, ST.online_state(_bar_stream(spark, d)), "online_state")
+
+
+# every rule type for every symbol; one rule changes its value, one ends
+_ALERTS = [("rsi_below", 30.0), ("rsi_above", 70.0), ("price_below", 95.0), ("price_above", 100.0), ("confidence_above", 60.0), ("verdict_buy", None), ("verdict_sell", None), ("stage2", None), ("golden", None), ("death", None)]
+_START, _CHANGE, _END = "1992-01-01", "1996-06-03", "1997-06-02"
+
+
+def alert_changes(spark, d):
+    """The rule stream: rows of rule_id, symbol, ts, type, value, until."""
+    rows = [(t, v, _START, _END if t == "price_above" else None) for t, v in _ALERTS] + [("rsi_below", 40.0, _CHANGE, None)]
+    kinds = spark.createDataFrame(rows, "type string, value double, ts string, until string")
+    syms = P.type_px(spark, d).select("symbol").distinct()
+    x = syms.join(F.broadcast(kinds))
+    return x.select(F.concat_ws(":", "type", "symbol").alias("rule_id"), "symbol", F.col("ts").cast("timestamp").alias("ts"), "type", "value", F.col("until").cast("timestamp").alias("until"))
+
+
+def _as_stream(spark, df, name: str):
+    path = fresh_dir(spark, name)
+    df.write.parquet(path)
+    return spark.readStream.schema(df.schema).parquet(path)
+
+
+_HOLDS = """CASE type WHEN 'rsi_below' THEN rv < value WHEN 'rsi_above' THEN rv > value WHEN 'price_below' THEN close < value WHEN 'price_above' THEN close > value WHEN 'confidence_above' THEN confidence > value
+ WHEN 'verdict_buy' THEN verdict = 'BUY' WHEN 'verdict_sell' THEN verdict = 'SELL' WHEN 'stage2' THEN sc = 8 OR (sc >= 7 AND close > m150 AND close > m200 AND m150 > m200 AND m50 > m150 AND m50 > m200 AND close > m50)
+ WHEN 'golden' THEN m50 > m200 WHEN 'death' THEN m200 IS NOT NULL AND NOT m50 > m200 END"""
+
+
+_ENDS = {"price_above": f"TIMESTAMP '{_END}'", "rsi_below": f"TIMESTAMP '{_CHANGE}'"}
+
+
+@query(
+    "stream_alerts",
+    "P5",
+    P.with_(
+        *series_ctes(1),
+        "rl(type, value, a, z) AS (VALUES "
+        + ", ".join(
+            f"('{t}', {'NULL' if v is None else v}::DOUBLE, TIMESTAMP '{_START}', {_ENDS.get(t, 'CAST(NULL AS TIMESTAMP)')})" for t, v in _ALERTS
+        )
+        + f", ('rsi_below', 40.0, TIMESTAMP '{_CHANGE}', NULL))",
+        "sn AS (SELECT pf.symbol, pf.ts, tc.close, tc.rsi AS rv, pf.confidence, pf.verdict, sc, m50, m150, m200 FROM pf JOIN tc USING (symbol, i) WHERE pf.ts <= (SELECT max(ts) FROM pf) - INTERVAL 1 DAY)",
+        f"hd AS (SELECT type || ':' || symbol AS rule_id, symbol, type, a, ts, close, coalesce({_HOLDS}, false) AS hit FROM sn, rl WHERE ts >= a AND (z IS NULL OR ts < z))",
+        "fd AS (SELECT *, coalesce(lag(hit) OVER (PARTITION BY rule_id, a ORDER BY ts), false) AS was FROM hd)",
+        recursive=True,
+    )
+    + "SELECT rule_id, symbol, type, ts, close FROM fd WHERE hit AND NOT was",
+)
+def stream_alerts(spark, d):
+    facts = scored_daily(spark, d).select("symbol", "ts", F.col("rsi_value").alias("rsi"), "confidence", "verdict", "passes", "stage", "cross")
+    snaps = facts.join(P.type_px(spark, d).select("symbol", "ts", "close"), ["symbol", "ts"])
+    stream = ST.stream_alerts(_as_stream(spark, snaps, "snapshots"), _as_stream(spark, alert_changes(spark, d), "rules"))
+    return keyed(spark, stream, "stream_alerts")
+
+
 SESS = """WITH o AS (SELECT event_type AS symbol, ts, value, lag(ts) OVER (PARTITION BY event_type ORDER BY ts) AS p FROM events),
 g AS (SELECT *, sum(CASE WHEN p IS NULL OR ts - p >= INTERVAL 30 MINUTE THEN 1 ELSE 0 END) OVER (PARTITION BY symbol ORDER BY ts) AS s FROM o),
 a AS (SELECT symbol, min(ts) AS start, CAST(max(ts) + INTERVAL 30 MINUTE AS TIMESTAMP) AS "end", count(*) AS trades, arg_min(value, ts) AS open, max(value) AS high, min(value) AS low, arg_max(value, ts) AS close FROM g GROUP BY symbol, s)
