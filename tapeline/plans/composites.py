@@ -44,7 +44,7 @@ RUN = [
     f"pa AS (SELECT symbol, close, row_number() OVER (PARTITION BY symbol ORDER BY ts DESC) - 1 AS age FROM px WHERE ts <= TIMESTAMP '{AS_OF}')",
     "pg AS (SELECT symbol, CASE WHEN count(*) > 11 THEN max(close) FILTER (age = 0) / max(close) FILTER (age = 10) - 1 END AS runup FROM pa GROUP BY 1)",
     f"""ne AS (SELECT p_brand AS symbol, CAST(min(CAST(l_shipdate AS DATE)) AS TIMESTAMP) AS next_event, date_diff('day', DATE '{AS_OF}', min(CAST(l_shipdate AS DATE))) AS days_to_event FROM lineitem JOIN part ON l_partkey = p_partkey
- WHERE l_linenumber = 7 AND l_quantity >= 45 AND l_shipdate >= TIMESTAMP '{AS_OF}' AND l_shipdate <= CAST(DATE '{AS_OF}' + 120 AS TIMESTAMP) GROUP BY 1)""",
+ WHERE l_shipdate >= TIMESTAMP '{AS_OF}' AND l_shipdate <= CAST(DATE '{AS_OF}' + 120 AS TIMESTAMP) GROUP BY 1)""",
     "rn AS MATERIALIZED (SELECT symbol, next_event, days_to_event, runup, days_to_event <= 30 AS soon, coalesce(days_to_event <= 30 AND runup >= 0.01, false) AS hot_runup FROM ne JOIN pg USING (symbol))",
 ]
 
