@@ -25,7 +25,6 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import zstandard
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -34,12 +33,14 @@ from pyspark.sql import types as T
 from .bitmaps import bitmap, bits_for, member
 from .simhash import xxh64
 from .tables import as_table, drop_table, fresh, with_row
-from .words import LEADS, LOWER, NOT_SPACE, Words, chunks, flat, offsets_of, strings
+from .words import LEADS, LOWER, NOT_SPACE, Words, chunks, flat, offsets_of
 
 MIN_WORDS = 8
 #: Words of a window, and of the digests inside it of which the smallest stands for it.
 WIDTH, SHORT = 50, 26
 SEEDS = (42, 4242)
+#: Slots of a digest in a bitmap.
+HASHES = 2
 
 _STOP = np.isin(np.arange(256), np.frombuffer(b".!?", np.uint8))
 #: An odd factor and its inverse modulo 2**64.
@@ -143,7 +144,7 @@ def text_units(text: pa.Array, repeated: np.ndarray | None = None) -> dict[str,
     size = at[b] + (w.ends - w.starts)[b] - at[a]
     first = xxh64(joined, at[a], size, SEEDS[0]).view(np.int64)
     if repeated is not None:
-        use = member(repeated, first)
+        use = member(repeated, first, HASHES)
         a, b, size, first = a[use], b[use], size[use], first[use]
     digests = [first, xxh64(joined, at[a], size, SEEDS[1]).view(np.int64)]
     return dict(zip(("row", *_FIELDS), [*_placed(w, data, a, b), *digests], strict=True))
@@ -152,7 +153,7 @@ def text_units(text: pa.Array, repeated: np.ndarray | None = None) -> dict[str,
 def text_windows(text: pa.Array, repeating: np.ndarray, gone: pa.Array | None = None, wanted: np.ndarray | None = None) -> dict[str, np.ndarray]:
     """As ``text_units`` the windows that can repeat, and ``at``, their first word's number.
 
-    With ``gone``, the removed (start, end) of each row, only those with a word
+    With ``gone``, the removed spans (start << 32 | end) of each row, only those with a word
     outside; with ``wanted`` only those whose digest is in that bitmap."""
     data, offsets = flat(text)
     w = Words(LOWER[data], offsets, NOT_SPACE)
@@ -160,18 +161,18 @@ def text_windows(text: pa.Array, repeating: np.ndarray, gone: pa.Array | None =
         return {k: np.zeros(0, np.int64) for k in ("row", *_FIELDS, "at")}
     _, least, whole, h = _smallest(w)
     h1 = _windows(h[0], WIDTH)
-    use = whole & member(repeating, least)
+    use = whole & member(repeating, least, HASHES)
     if wanted is not None:
-        use &= member(wanted, h1)
+        use &= member(wanted, h1, HASHES)
     if gone is not None:
         points = offsets_of(LEADS[data])
         sizes = np.asarray(pc.fill_null(pc.list_value_length(gone), 0).to_numpy(zero_copy_only=False), np.int64)
-        spans, base = gone.flatten(), points[offsets[:-1]]
-        base = np.repeat(base, sizes)
+        spans = gone.flatten().to_numpy(zero_copy_only=False)
+        base = np.repeat(points[offsets[:-1]], sizes)
         edge = np.zeros(len(w.starts) + 1, np.int64)
         begins, ends = points[w.starts], points[w.ends]
-        for name, of, by, side in (("start", begins, 1, "left"), ("end", ends, -1, "right")):
-            np.add.at(edge, np.searchsorted(of, spans.field(name).to_numpy(zero_copy_only=False) + base, side), by)
+        for at, of, by, side in ((spans >> 32, begins, 1, "left"), (spans & 0xFFFFFFFF, ends, -1, "right")):
+            np.add.at(edge, np.searchsorted(of, at + base, side), by)
         left = offsets_of(np.cumsum(edge)[:-1] <= 0)
         use &= left[WIDTH:] > left[:-WIDTH]
     a = np.flatnonzero(use)
@@ -181,15 +182,13 @@ def text_windows(text: pa.Array, repeating: np.ndarray, gone: pa.Array | None =
 
 #: Kinds of counted digests.
 _UNIT, _SEED = 0, 1
-#: 2**_BLOCK rows that follow one another go through a shuffle as one compressed block.
-_BLOCK = 6
 
 
-def _repeated(docs: DataFrame, name: str, make, read=lambda batches: batches) -> dict[int, Broadcast]:
+def _repeated(docs: DataFrame, name: str, make) -> dict[int, Broadcast]:
     """Bitmaps, by kind, of the digests that occur twice or more among those that ``make`` yields as (kind, digests)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in chunks(read(batches), "_text"):
+        for part in chunks(batches, "_text"):
             for kind, digests in make(part):
                 # The lowest bit of a digest, which no bitmap reads, tells the kind.
                 h, n = np.unique((digests & ~1) | kind, return_counts=True)
@@ -198,49 +197,11 @@ def _repeated(docs: DataFrame, name: str, make, read=lambda batches: batches) ->
     found = as_table(docs.mapInArrow(run, "h long, n int").groupBy("h").agg(F.sum("n").alias("n")).where("n > 1").select("h"), name)
     kind = F.col("h").bitwiseAND(F.lit(1))
     sizes = {r.kind: r.n for r in found.groupBy(kind.alias("kind")).agg(F.count("*").alias("n")).collect()}
-    maps = {k: bitmap(found.where(kind == k), "h", bits_for(sizes.get(k, 0))) for k in (_UNIT, _SEED)}
+    maps = {k: bitmap(found.where(kind == k), "h", bits_for(sizes.get(k, 0)), HASHES) for k in (_UNIT, _SEED)}
     drop_table(found)
     return maps
 
 
-def _packed(docs: DataFrame) -> DataFrame:
-    """Texts long enough for a window as compressed blocks of neighbouring rows: block, rows, offsets, z."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        squeeze = zstandard.ZstdCompressor(level=1)
-        for part in chunks(batches, "_text"):
-            rows = part.column("_row").to_numpy(zero_copy_only=False)
-            block = rows >> _BLOCK
-            starts = np.flatnonzero(np.append(True, block[1:] != block[:-1]))
-            data, at = flat(part.column("_text"))
-            out = []
-            for a, b in zip(starts, np.append(starts[1:], len(rows)), strict=True):
-                out.append((int(block[a]), rows[a:b].tobytes(), (at[a : b + 1] - at[a]).tobytes(), squeeze.compress(data[at[a] : at[b]].tobytes())))
-            kinds = (pa.int64(), pa.binary(), pa.binary(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), kinds, strict=True)], ["block", "rows", "offsets", "z"])
-
-    return docs.where(F.length("_text") >= 2 * WIDTH - 1).select("_row", "_text").mapInArrow(run, "block long, rows binary, offsets binary, z binary")
-
-
-def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Blocks with the spans of their rows -> _text and _gone of each row."""
-    spread = zstandard.ZstdDecompressor()
-    kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-    for batch in batches:
-        for k in range(batch.num_rows):
-            rows = np.frombuffer(batch.column("rows")[k].as_py(), np.int64)
-            offsets = np.frombuffer(batch.column("offsets")[k].as_py(), np.int64)
-            data = np.frombuffer(spread.decompress(batch.column("z")[k].as_py()), np.uint8)
-            spans = batch.column("gone")[k].values
-            of, start, end = (np.zeros(0, np.int64),) * 3 if spans is None else (spans.field(c).to_numpy(zero_copy_only=False) for c in ("_row", "start", "end"))
-            order = np.argsort(of, kind="stable")
-            # A block cut in two gets the spans of both halves.
-            order = order[np.isin(of[order], rows)]
-            at = np.append(0, np.cumsum(np.bincount(np.searchsorted(rows, of[order]), minlength=len(rows)))).astype(np.int32)
-            pairs = pa.StructArray.from_arrays([pa.array(start[order]), pa.array(end[order])], ["start", "end"])
-            yield pa.RecordBatch.from_arrays([strings(data, offsets), pa.ListArray.from_arrays(pa.array(at), pairs).cast(kind)], ["_text", "_gone"])
-
-
 def _table(docs: DataFrame, keep: list[str], text_col: str, names: tuple[str, ...], make) -> DataFrame:
     """keep and the named values of every unit that ``make`` finds in a part."""
     schema = T.StructType([docs.schema[c] for c in keep] + [T.StructField(c, T.LongType()) for c in names])
@@ -275,9 +236,10 @@ def _repeats(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     later = as_table(both.select(*names), "repeated_units")
     drop_table(found), drop_table(first)
 
-    gone = later.groupBy(F.shiftright("_row", _BLOCK).alias("block")).agg(F.collect_list(F.struct("_row", "start", "end")).alias("gone"))
-    rest = _packed(own).join(gone, "block", "left")
-    wanted = _repeated(rest, "window_digests", lambda p: [(_UNIT, text_windows(p.column("_text"), repeating.value, p.column("_gone"))["h1"])], _unpacked)[_UNIT]
+    # A span is one number, so that a list of them is as short as it can be.
+    gone = later.groupBy("_row").agg(F.collect_list(F.shiftleft("start", 32) + F.col("end")).alias("_gone"))
+    rest = own.where(F.length("_text") >= 2 * WIDTH - 1).join(gone, "_row", "left").select("_text", "_gone")
+    wanted = _repeated(rest, "window_digests", lambda p: [(_UNIT, text_windows(p.column("_text"), repeating.value, p.column("_gone"))["h1"])])[_UNIT]
     windows = as_table(_table(own, keep, "_text", (*_FIELDS, "at"), lambda p: text_windows(p.column("_text"), repeating.value, wanted=wanted.value)), "text_windows")
     both, first = _later(windows, "first_windows", "at")
     # Windows that go on from one another in both documents are one passage.
