@@ -20,7 +20,7 @@ from .html_labelled import pages as labelled_pages
 from .words import offsets_of
 
 #: Labelled pages that the field is trained on.
-PAGES = 500
+PAGES = 750
 #: Pages decoded at once.
 BATCH = 128
 
@@ -52,7 +52,7 @@ def _features(block: Leaf) -> list[int]:
     return [
         _TAG_AT.get(block.tag, 0), inner, side,
         *(int(t in tags) for t in _ANCESTORS),
-        size, link, int(text[-1] in ".!?:;\"')") + 2 * int(text[-1] == ","), min(text.count(","), 5), int("\xa9" in text or "all rights reserved" in low),
+        size, link, int(text[-1] in ".!?:;\"')") + 2 * int(text[-1] == ","), min(text.count(","), 5), 2 if "\xa9" in text else int("all rights reserved" in low),
         int(any(w in low for w in ("cookie", "subscribe", "log in", "sign up", "newsletter", "click here"))), int(text.isupper()), int("comment" in block.roles),
     ]
 

@@ -6,12 +6,10 @@ import html
 import re
 from dataclasses import dataclass
 
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|$)|<[!?][^>]*>?"
-    r"|<(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:[^>\"']|\"[^\"]*+\"|'[^']*+')*+)>"
-    r"|<(?P<end2>/?)(?P<tag2>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs2>[^>]*)>",
-    re.S,
-)
+# What begins a token; the end of a tag is found apart, as it needs to know which quotes close.
+_TOKEN = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*>?|<(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)", re.S)
+# A quote opens a value only right after "="; elsewhere it is a character like any other.
+_ATTRS = re.compile(r"[^>=]*+(?:(?P<close>>)|=\s*+(?P<quote>[\"'])?)")
 _NAMED = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)
 _PIECES = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _RAW_END = {t: re.compile(rf"</{t}\s*>", re.I) for t in ("script", "style")}
@@ -76,6 +74,43 @@ class Leaf:
     roles: tuple[str, ...]
 
 
+class _Tags:
+    """Ends of tags; a quote that no other one follows is remembered, so a page of stray quotes is read once.
+
+    Where values close but the bracket behind them is missing, the search was in vain; after a few pages' worth of
+    such searches quotes are not trusted any more."""
+
+    def __init__(self, page: str):
+        self.page, self.none = page, {"'": len(page), '"': len(page), ">": len(page)}
+        self.vain = 4 * len(page)
+
+    def find(self, mark: str, at: int) -> int:
+        if at >= self.none[mark]:
+            return -1
+        found = self.page.find(mark, at)
+        if found < 0:
+            self.none[mark] = at
+        return found
+
+    def end(self, at: int) -> int:
+        """Where the bracket stands that closes a tag whose attributes begin at ``at``; -1 if none does."""
+        first, begin = self.find(">", at), at
+        if first < 0 or self.vain < 0:
+            return first
+        while (m := _ATTRS.match(self.page, at)) and not m["close"]:
+            at = m.end()
+            if m["quote"]:
+                to = self.find(m["quote"], at)
+                # A value whose quote never closes ends the tag at the first bracket.
+                if to < 0:
+                    break
+                at = to + 1
+        if m and m["close"]:
+            return m.start("close")
+        self.vain -= at - begin
+        return first
+
+
 def leaves(page: str) -> list[Leaf]:
     """Blocks with text in page order: references decoded, white space turned into one blank, trimmed."""
     out: list[Leaf] = []
@@ -101,21 +136,23 @@ def leaves(page: str) -> list[Leaf]:
             hidden -= tag in HIDDEN
             links -= tag == "a"
 
-    at, size = 0, len(page)
+    at, size, tags = 0, len(page), _Tags(page)
     while at < size:
         m = _TOKEN.search(page, at)
-        if m is None:
+        close = tags.end(m.end()) if m and m["tag"] else 0
+        if m is None or close < 0:
+            # Nothing, or a tag that no bracket ends: the rest is text.
             if not hidden:
                 parts.append(page[at:])
             break
         if m.start() > at and not hidden:
             parts.append(page[at : m.start()])
             linked += (m.start() - at) if links else 0
-        at = m.end()
-        tag = (m["tag"] or m["tag2"] or "").lower()
+        tag = (m["tag"] or "").lower()
+        at = close + 1 if tag else m.end()
         if not tag:
             continue
-        if m["end"] or m["end2"]:
+        if m["end"]:
             for depth in range(len(stack) - 1, -1, -1):
                 if stack[depth][0] == tag:
                     if tag in BLOCKS or tag in HIDDEN:
@@ -153,7 +190,7 @@ def leaves(page: str) -> list[Leaf]:
                         break
         elif tag in HIDDEN:
             flush()
-        attrs = m["attrs"] if m["tag"] else m["attrs2"]
+        attrs = page[m.end() : close]
         if attrs.endswith("/") and tag not in BLOCKS:
             continue
         stack.append((tag, role_of(tag, attrs)))

@@ -116,6 +116,9 @@ class _Page:
                 elif r.random() < 0.2:
                     t += f' <a href="#">{_sentence(r, 1, 5)}</a> {r.choice(_WORDS)}.'
                 self.text("p", t, True, close=r.random() < 0.8)
+            elif kind < 0.72:
+                # A line that sounds like a footer is article text where the article has it.
+                self.text("p", r.choice(["All rights reserved.", "Subscribe to our newsletter.", "&copy; 2024 " + _sentence(r, 1, 4)]), True)
             elif kind < 0.78:
                 self.text(r.choice(["h2", "h3"]), _sentence(r, 1, 7), True)
             elif kind < 0.84:
@@ -133,6 +136,59 @@ class _Page:
             self.small(["comment", "side", "form"])
         self.put(end)
 
+    def links(self) -> None:
+        """A menu that only its links tell."""
+        r = self.r
+        if r.random() < 0.5:
+            self.menu(r.randint(2, 6))
+        else:
+            self.text(r.choice(["div", "p", "td"]), " ".join(f'<a href="/{k}">{r.choice(_MENU)}</a>' for k in range(r.randint(1, 6))), False)
+
+    def plain(self) -> None:
+        """An article that neither tag nor name tells: in a nameless element, a table cell or a cell for each paragraph."""
+        r = self.r
+        kind = r.choice(["div", "section", "none", "table", "nested", "cells"])
+        attrs = r.choice(["", "", " id=page", ' class="col-2"', ' class="row x1"', ' style="a>b"'])
+        begin, end = {
+            "div": (f"<div{attrs}>", "</div>"), "section": (f"<section{attrs}><div>", "</div></section>"), "none": ("", ""),
+            "table": (f"<table{attrs}><tr><td>", "</td></tr></table>"), "nested": ("<table><tr><td><table><tr><td>", "</td></tr></table></td></tr></table>"), "cells": (f"<table{attrs}>", "</table>"),
+        }[kind]
+        if r.random() < 0.7:
+            self.put("<div>")
+            self.links()
+            self.put("</div>")
+        if kind == "nested" and r.random() < 0.6:
+            self.put("<table><tr><td>")
+            self.links()
+            begin, end = "</td><td><table><tr><td>", "</td></tr></table></td></tr></table>"
+        self.put(begin)
+        if kind != "cells" and r.random() < 0.6:
+            self.text(r.choice(["h1", "h1", "h2", "h3"]), _sentence(r, 1, 10), True)
+        tag = "td" if kind == "cells" else r.choice(["p", "p", "div"])
+        for _ in range(r.choice([1, 2, 2, 4, 8])):
+            if tag != "td" and r.random() < 0.1:
+                self.put("<ul>")
+                for _ in range(r.randint(1, 4)):
+                    self.text("li", _sentence(r, 3, 14), True, close=r.random() < 0.7)
+                self.put("</ul>")
+            self.put("<tr>" if tag == "td" else "")
+            self.text(tag, _prose(r), True, close=tag == "div" or r.random() < 0.8)
+        self.put(end)
+        for what in ("form", "foot", "links"):
+            if r.random() < 0.4:
+                if what == "form":
+                    self.small(["form"])
+                elif what == "links":
+                    self.put("<div>")
+                    self.links()
+                    self.put("</div>")
+                else:
+                    self.text(r.choice(["div", "p"]), r.choice(["&copy; 2024 ", "Copyright &copy; "]) + r.choice(_WORDS) + r.choice(["", ". All rights reserved", ". All rights reserved."]), False)
+
+
+#: One page in so many has an article without telling markup.
+PLAIN = 3
+
 
 def pages(n: int = 500, seed: int = 5) -> list[tuple[str, list[int]]]:
     """(html, label of each block in page order)"""
@@ -149,7 +205,10 @@ def pages(n: int = 500, seed: int = 5) -> list[tuple[str, list[int]]]:
                 p.small([kind])
         if r.random() < 0.3:
             p.small(["side"])
-        p.article()
+        if k % PLAIN:
+            p.article()
+        else:
+            p.plain()
         for kind in ("side", "comment", "form", "ad", "nav", "footer", "notice"):
             if r.random() < 0.45:
                 p.small([kind])
