@@ -460,9 +460,11 @@ def recent_move(bars: DataFrame) -> DataFrame:
     return g.withColumn("move", move).join(cd, "symbol", "left").select("symbol", "change5", "move", "up_day", "candle", "candle_bias")
 
 
-def scan(bars: DataFrame, benchmark: DataFrame, h: int = 21) -> DataFrame:
+def scan(bars: DataFrame, benchmark: DataFrame, h: int = 21, payload: bool = False) -> DataFrame:
     """The ranked universe: setup score with the reversal bonus, dip bucket,
-    breakout watch and the plan's levels for the holding horizon."""
+    breakout watch and the plan's levels for the holding horizon.
+
+    ``payload`` adds excess return, the dip's RSI, record and plan, and the watch's level and distance."""
     x = R.aged(I.rsi(bars))
     g = x.groupBy("symbol").agg(
         F.count("close").alias("__n"),
@@ -473,8 +475,12 @@ def scan(bars: DataFrame, benchmark: DataFrame, h: int = 21) -> DataFrame:
     ).where(F.col("__n") >= 210)
     rs = R.relative_strength(bars, benchmark).select("symbol", F.col("excess").alias("rs_excess"))
     rev = C.events(bars, 4).groupBy("symbol").agg(F.max(F.col("bias") == "bullish").alias("reversal"))
-    dip = TR.dip_state(bars).select("symbol", F.lit(True).alias("__dip"), "active", F.col("in_uptrend").alias("__up"), F.col("win_rate").alias("dip_win_rate"))
-    bw = R.breakout_watch(bars).select("symbol", F.col("status").alias("watch"), F.col("fresh").alias("watch_fresh"))
+    more = {"dip_rsi2": "rsi2", "dip_n_trades": "n_trades", "dip_avg": "avg_per_trade", "dip_bounce": "typical_bounce", "dip_target": "target", "dip_stop": "stop"}
+    dip = TR.dip_state(bars).select(
+        "symbol", F.lit(True).alias("__dip"), "active", F.col("in_uptrend").alias("__up"), F.col("win_rate").alias("dip_win_rate"), *(F.col(c).alias(a) for a, c in more.items())
+    )
+    levels = {"watch_level": "level", "watch_dist": "dist", "watch_overbought": "overbought", "watch_overhead_200": "overhead_200", "watch_dist_200": "dist_200"}
+    bw = R.breakout_watch(bars).select("symbol", F.col("status").alias("watch"), F.col("fresh").alias("watch_fresh"), *(F.col(c).alias(a) for a, c in levels.items()))
     pl = TP.trade_plan(bars, h).select("symbol", "target", "stop", "p_profit_intraperiod", "weekly_vol")
     out = g
     for other in (rs, rev, dip, bw, pl):
@@ -498,9 +504,34 @@ def scan(bars: DataFrame, benchmark: DataFrame, h: int = 21) -> DataFrame:
         "dip_win_rate",
         "watch",
         "watch_fresh",
+        *(["rs_excess", *more, *levels] if payload else []),
     )
 
 
+def scan_lists(scanned: DataFrame, k: int = 5) -> DataFrame:
+    """The scan's sorted lists, one row per entry: (list, pos, symbol, key).
+
+    Live dips by win rate, waiting ones by RSI, symbols whose dip record has no uptrend; bases broken (fresh ones first, then
+    the farthest) and coiling (the nearest first); the ``k`` best setups.  A list holds symbols, not bars."""
+    bucket, watch = F.col("dip_bucket"), F.col("watch")
+    rsi2, dist = F.coalesce("dip_rsi2", F.lit(99.0)), F.col("watch_dist")
+    zero = F.lit(0.0)
+    # fixed values: list names
+    cells = [
+        ("dip_active", bucket == "active", -F.coalesce("dip_win_rate", zero), zero),
+        ("dip_waiting", bucket == "waiting", rsi2, zero),
+        ("dip_downtrend", bucket == "downtrend", zero, zero),
+        ("watch_broke", watch == "broke", (~F.col("watch_fresh")).cast("double"), -dist),
+        ("watch_coiling", watch == "coiling", -dist, zero),
+        ("top", F.col("setup_score") > 0, -F.col("setup_score"), zero),
+    ]
+    rows = [F.when(w.flag(c), F.struct(F.lit(n).alias("list"), a.cast("double").alias("__a"), b.cast("double").alias("__b"))) for n, c, a, b in cells]
+    x = scanned.select("symbol", F.inline(F.filter(F.array(*rows), lambda r: r.isNotNull())))
+    spec = Window.partitionBy("list").orderBy("__a", "__b", "symbol")
+    x = x.withColumn("pos", F.row_number().over(spec).cast("long"))
+    return x.where((F.col("list") != "top") | (F.col("pos") <= k)).select("list", "pos", "symbol")
+
+
 def top_setups(scanned: DataFrame, k: int = 5) -> DataFrame:
     """Best ``k`` setups with a positive score."""
     return scanned.where(F.col("setup_score") > 0).orderBy(F.desc("setup_score"), "symbol").limit(k)

@@ -58,6 +58,21 @@ def extract_signals(verdicts: DataFrame) -> DataFrame:
     ).select(*schemas.LEDGER.fieldNames())
 
 
+def verdict_frame(bars: DataFrame, resistance: DataFrame, dip: DataFrame, pattern: DataFrame, runup: DataFrame, crossover: DataFrame, conviction: DataFrame) -> DataFrame:
+    """The newest verdicts of every symbol side by side, as ``extract_signals`` reads them; each input has a row per symbol."""
+    now = bars.groupBy("symbol").agg(F.max("ts").alias("ts"), F.max_by("close", "ts").alias("price"))
+    for other in (
+        resistance.select("symbol", "state", "p_reach_ath_63d"),
+        dip.select("symbol", F.col("active").alias("dip_active")),
+        pattern.select("symbol", F.col("direction").alias("pattern_direction"), "p_up", "tilt_pp"),
+        runup.select("symbol", "hot_runup"),
+        crossover.select("symbol", F.col("direction").alias("crossover_direction")),
+        conviction.select("symbol", F.col("direction").alias("conviction_direction")),
+    ):
+        now = now.join(other, "symbol", "left")
+    return now
+
+
 def log_signals(new: DataFrame, ledger: DataFrame | None = None) -> DataFrame:
     """The rows to append: one per (day, symbol, type) and none already logged."""
     rest = [c for c in new.columns if c not in KEY]

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import composites as CO
 from ..operators import evaluations as E
+from ..operators import ledger as LG
 from ..operators import levels as L
 from ..operators import regimes as R
 from ..operators import trades as TR
@@ -441,22 +442,91 @@ def once(*ctes: str) -> list[str]:
 
 SCAN = [
     *once(*RSI_CTES, WATCH, AGE, BENCH, RS_SQL, geometry_cte(), events_cte(), *DIP_STATE, *plan_ctes(21, PX)),
+    "dto2 AS (SELECT symbol, count(*) AS n_trades, avg(ret) AS avg_per_trade, coalesce(quantile_cont(ret, 0.5) FILTER (ret > 0), 0.02) AS bounce FROM dt GROUP BY symbol)",
+    "dnow AS (SELECT symbol, rsi2 FROM dp WHERE i = n - 1)",
     "rvs AS (SELECT symbol, max((bias = 'bullish')::INT) = 1 AS reversal FROM cev WHERE n - i <= 4 GROUP BY 1)",
     f"sg0 AS (SELECT symbol, count(close) AS nn, {at(0)} AS price, {at(0, 'rsi')} AS rsi, {tail('avg', 20)} AS s20, {tail('avg', 200)} AS s200 FROM ri GROUP BY symbol)",
     "sg1 AS (SELECT sg0.*, coalesce(excess, -0.99) AS ex, coalesce(reversal, false) AS reversal FROM sg0 LEFT JOIN rstr USING (symbol) LEFT JOIN rvs USING (symbol) WHERE nn >= 210)",
     """scn AS MATERIALIZED (SELECT symbol, price, CASE WHEN price > s200 AND ex > 0 AND sg1.rsi IS NOT NULL THEN
  least(100 * (0.55 * least(1, greatest(0, (55 - sg1.rsi) / 30)) + 0.35 * least(1, greatest(0, (s20 / price - 1) / 0.05)) + 0.1) + CASE WHEN reversal THEN 8.0 ELSE 0.0 END, 100.0) ELSE 0.0 END AS setup_score,
  price > s200 AS in_uptrend, ex > 0 AS outperforming, sg1.rsi, reversal, price * (1 - 0.5 * coalesce(weekly_vol, 0)) AS buy_zone_low, target, stop, p_profit_intraperiod,
- CASE WHEN dip_active THEN 'active' WHEN dip_up THEN 'waiting' WHEN dst.symbol IS NOT NULL THEN 'downtrend' END AS dip_bucket, dst.win_rate AS dip_win_rate, status AS watch, fresh AS watch_fresh
- FROM sg1 LEFT JOIN dst USING (symbol) LEFT JOIN bwt USING (symbol) LEFT JOIN plan USING (symbol))""",
+ CASE WHEN dip_active THEN 'active' WHEN dip_up THEN 'waiting' WHEN dst.symbol IS NOT NULL THEN 'downtrend' END AS dip_bucket, dst.win_rate AS dip_win_rate, status AS watch, fresh AS watch_fresh,
+ CASE WHEN ex > -0.99 THEN ex END AS rs_excess, CASE WHEN dst.symbol IS NOT NULL THEN rsi2 END AS dip_rsi2, CASE WHEN dst.symbol IS NOT NULL THEN n_trades END AS dip_n_trades, CASE WHEN dst.symbol IS NOT NULL THEN avg_per_trade END AS dip_avg,
+ CASE WHEN dst.symbol IS NOT NULL THEN bounce END AS dip_bounce, CASE WHEN dip_active THEN price * (1 + bounce) END AS dip_target, CASE WHEN dip_active THEN price * 0.92 END AS dip_stop,
+ bwt.level AS watch_level, bwt.dist AS watch_dist, overbought AS watch_overbought, overhead_200 AS watch_overhead_200, dist_200 AS watch_dist_200
+ FROM sg1 LEFT JOIN dst USING (symbol) LEFT JOIN dto2 USING (symbol) LEFT JOIN dnow USING (symbol) LEFT JOIN bwt USING (symbol) LEFT JOIN plan USING (symbol))""",
 ]
+_SCANNED = "symbol, price, setup_score, in_uptrend, outperforming, rsi, reversal, buy_zone_low, target, stop, p_profit_intraperiod, dip_bucket, dip_win_rate, watch, watch_fresh"
 
 
-@query("scan", "E16 K8", P.with_(*SCAN, recursive=True) + "SELECT * FROM scn")
+@query("scan", "E16 K8", P.with_(*SCAN, recursive=True) + f"SELECT {_SCANNED} FROM scn")
 def scan(spark, d):
     return CO.scan(px(spark, d), bench(spark, d))
 
 
-@query("top_setups", "E16 K9", P.with_(*SCAN, recursive=True) + "SELECT * FROM scn WHERE setup_score > 0 ORDER BY setup_score DESC, symbol LIMIT 5")
+@query("top_setups", "E16 K9", P.with_(*SCAN, recursive=True) + f"SELECT {_SCANNED} FROM scn WHERE setup_score > 0 ORDER BY setup_score DESC, symbol LIMIT 5")
 def top_setups(spark, d):
     return CO.top_setups(CO.scan(px(spark, d), bench(spark, d)))
+
+
+def scan_full(spark, d):
+    return P.shared(spark, d, "scan_payload", lambda: CO.scan(px(spark, d), bench(spark, d), payload=True))
+
+
+@query("scan_payload", "E16", P.with_(*SCAN, recursive=True) + "SELECT * FROM scn")
+def scan_payload(spark, d):
+    return scan_full(spark, d)
+
+
+_LISTS = [
+    ("dip_active", "dip_bucket = 'active'", "-coalesce(dip_win_rate, 0)", "0"),
+    ("dip_waiting", "dip_bucket = 'waiting'", "coalesce(dip_rsi2, 99)", "0"),
+    ("dip_downtrend", "dip_bucket = 'downtrend'", "0", "0"),
+    ("watch_broke", "watch = 'broke'", "(NOT watch_fresh)::INT", "-watch_dist"),
+    ("watch_coiling", "watch = 'coiling'", "-watch_dist", "0"),
+    ("top", "setup_score > 0", "-setup_score", "0"),
+]
+
+
+@query(
+    "scan_lists",
+    "E16 K8 K9",
+    P.with_(*SCAN, recursive=True)
+    + "SELECT * FROM (" + " UNION ALL ".join(f"SELECT '{n}' AS list, row_number() OVER (ORDER BY {a}, {b}, symbol) AS pos, symbol FROM scn WHERE {c}" for n, c, a, b in _LISTS) + ") WHERE list <> 'top' OR pos <= 5",
+)
+def scan_lists(spark, d):
+    return CO.scan_lists(scan_full(spark, d))
+
+
+def verdict_frame(spark, d):
+    """The newest verdicts of the brand panel, one row per symbol."""
+    b = px(spark, d)
+    return LG.verdict_frame(b, L.resistance_state(b), TR.dip_state(b), CO.pattern_read(b), runup(spark, d), R.crossover_system(b), conviction_frame(spark, d))
+
+
+_CALLS = [
+    ("resistance_breakout", "'up'", "p_reach_ath_63d", "state", "state = 'fresh_breakout'"),
+    ("dip_buy", "'up'", "NULL", "NULL", "dip_active"),
+    ("pattern_tilt", "CASE WHEN tilt > 2 THEN 'up' ELSE 'down' END", "p_up", "round(tilt, 1)::VARCHAR || 'pp'", "abs(tilt) > 2"),
+    ("earnings_runup", "'down'", "NULL", "NULL", "hot_runup"),
+    ("ema_macd_crossover", "CASE cro.state WHEN 'buy' THEN 'up' ELSE 'down' END", "NULL", "NULL", "cro.state IN ('buy', 'sell')"),
+    ("conviction_stack", "CASE WHEN aligned >= 2 AND sb >= 1 AND bear = 0 THEN 'up' ELSE 'down' END", "NULL", "NULL", "(aligned >= 2 AND sb >= 1 AND bear = 0) OR net <= -2"),
+]
+
+
+@query(
+    "extract_signals_latest",
+    "I1",
+    P.with_(
+        *once(*CONV, *DIP_STATE, PV, LV, RES, *read_ctes()),
+        "vf AS (SELECT symbol, max(ts) AS ts, arg_max(close, ts) AS price FROM px GROUP BY 1)",
+        "tilts AS (SELECT nn.symbol, p_up, 100 * (p_up - bup) AS tilt FROM nn LEFT JOIN rt_f USING (symbol))",
+        recursive=True,
+    )
+    + " UNION ALL ".join(
+        f"SELECT CAST(date_trunc('day', vf.ts) AS TIMESTAMP) AS ts, upper(vf.symbol) AS symbol, '{n}' AS signal_type, {dr} AS direction, CAST({p} AS DOUBLE) AS predicted_p, vf.price AS entry_price, CAST({note} AS VARCHAR) AS note FROM vf JOIN {src} USING (symbol) WHERE {c}"
+        for (n, dr, p, note, c), src in zip(_CALLS, ("res", "dst", "tilts", "rn", "cro", "cv"), strict=True)
+    ),
+)
+def extract_signals_latest(spark, d):
+    return LG.extract_signals(verdict_frame(spark, d))
