@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from .. import schemas, session
 from ..functions import stats
 from ..functions import windows as w
+from ..sources import snapshots
 from . import joins
 
 HORIZONS = (5, 21, 63)
@@ -106,6 +107,31 @@ def append(new: DataFrame, path: str) -> None:
     staged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("month").parquet(path)
 
 
+def append_published(new: DataFrame, path: str, tries: int = 3) -> int:
+    """Append to a published ledger, exactly once per key, and give the snapshot's number.
+
+    The months that get rows are staged with what they hold; one manifest publishes them together, so no crash loses or
+    halves a month.  A writer that finds another one's snapshot reads again, ``tries`` times in all."""
+    spark, fields = new.sparkSession, schemas.LEDGER.fieldNames()
+    month = F.date_format("ts", "yyyy-MM")
+    fresh = session.as_table(log_signals(new.select(*fields)), "ledger_calls")
+    months = [r.month for r in fresh.select(month.alias("month")).distinct().collect()]
+    for k in range(tries):
+        seen, parts = snapshots.current(spark, path)
+        old = snapshots.read(spark, path, schemas.LEDGER, months)
+        staged = snapshots.stage(old.unionByName(log_signals(fresh, old)), path, month)
+        try:
+            return snapshots.publish(spark, path, seen, parts | staged)
+        except snapshots.Conflict:
+            if k + 1 == tries:
+                raise
+    raise ValueError("no try was allowed")
+
+
+def read_published(spark, path: str) -> DataFrame:
+    return snapshots.read(spark, path, schemas.LEDGER)
+
+
 def score_forward(ledger: DataFrame, bars: DataFrame, benchmark: DataFrame, horizons=HORIZONS) -> DataFrame:
     """Signals with ret_h and bench_h: entry at the first close on or after the
     signal day, exit h bars later, NULL until matured.

@@ -104,9 +104,14 @@ def _prepared(df: DataFrame) -> DataFrame:
 def dip_trades(df: DataFrame) -> DataFrame:
     """Trades of the dip rule: enter the bar after the signal, leave on a close
     over the 5-bar mean, the target, the stop or after 12 bars."""
+    return non_overlapping(dip_entries(df))
+
+
+def dip_entries(df: DataFrame) -> DataFrame:
+    """Every bar the dip rule would enter on, with its exit: symbol, i, held, ret."""
     x = _prepared(df)
     x = x.withColumn("__go", F.coalesce(w.lag("dip"), F.lit(False)))
-    return non_overlapping(x.where("__go").select("symbol", "i", "held", "ret"))
+    return x.where("__go").select("symbol", "i", "held", "ret")
 
 
 def random_entry_control(df: DataFrame, seed: str = "0") -> DataFrame:
