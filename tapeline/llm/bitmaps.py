@@ -26,7 +26,7 @@ _FACTOR = 0x9E3779B97F4A7C15
 
 def _hashes(keys: np.ndarray, hashes: int) -> list[np.ndarray]:
     """Of each key one or two numbers whose top bits are its slots; none reads the lowest bit."""
-    return [keys, (keys >> np.uint64(1)) * np.uint64(_FACTOR)][:hashes]
+    return [keys] if hashes == 1 else [keys, (keys >> np.uint64(1)) * np.uint64(_FACTOR)]
 
 
 def bitmap(keys: DataFrame, key: str, bits: int = BITS, hashes: int = 1) -> Broadcast:
