@@ -34,3 +34,23 @@ def test_forms(spark, model):
     assert found == {k: (3 + t.index(v), 3 + t.index(v) + len(v)) for k, (t, v) in enumerate(FORMS)}
     cut = {r.doc_id: r.text for r in secrets.redact(docs, model=model).collect()}
     assert all(cut[k] == f"so {t} it went".replace(v, secrets.MARK) for k, (t, v) in enumerate(FORMS))
+
+
+def test_the_path_moves_a_score(spark, model):
+    rows = [(1, "password = dev42river", "src/app/settings.py"), (2, "password = dev42river", "tests/fixtures/settings.py"), (3, "key AKIA" + "Z3X9Q2W7E5R1T8Y6", "tests/a.py")]
+    docs = as_table(spark.createDataFrame(rows, "doc_id long, text string, source string"), "paths")
+    score = {r.doc_id: r.score for r in secrets.judged(docs, ["doc_id"], "text", secrets.F.col("source"), model).collect()}
+    assert score[1] > score[2] + 0.1 and min(score[1], score[3]) > 0.5
+
+
+def test_sixteen_thousand_candidates_in_one_text(spark, model):
+    import time
+
+    text = " ".join(f"commit {k:040x} token=a8Kd02mQ{k:05d}" for k in range(8000))
+    docs = as_table(spark.createDataFrame([(1, text), (2, None), (2, "")], "doc_id long, text string"), "many")
+    begin = time.perf_counter()
+    got = secrets.scan(docs, model=model).collect()
+    assert time.perf_counter() - begin < 20 and len(got) == 8000
+    assert all(text[r.start : r.end].startswith("a8Kd02mQ") for r in got)
+    cut = {r.doc_id: r.text for r in secrets.redact(docs, model=model).where("doc_id = 1").collect()}
+    assert cut[1] == " ".join(f"commit {k:040x} token={secrets.MARK}" for k in range(8000))
