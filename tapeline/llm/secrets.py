@@ -118,6 +118,7 @@ def labelled_findings(spark: SparkSession) -> DataFrame:
     varied = F.substring(d("v"), 1, (16 + F.col("id") % 33).cast("int"))
     # Short passwords that a test would hold as well count outside tests only.
     program = F.element_at(F.split(F.lit("|src/app/main.py|conf/app.ini|web"), "[|]"), (F.col("id") % 4 + 1).cast("int"))
+    tested = F.element_at(F.split(F.lit("tests/fixtures/settings.py|docs/example.md|sample.env"), "[|]"), (F.col("id") % 3 + 1).cast("int"))
     cases = [
         # secrets
         (1, say("AKIA", caps("a", 16)), say(word("l"), " ", word("m"), " "), say(" ", word("r"))),
@@ -164,7 +165,11 @@ def labelled_findings(spark: SparkSession) -> DataFrame:
         (0, say(digits("h", 4), "-", digits("i", 2), "-", digits("j", 2), "T", digits("k", 6), "-0000"), say("at "), say("")),
         # values that only the path tells: secrets in a program, look-alikes in its tests
         (1, say("dev", digits("x", 2), word("y")), told, say(""), F.lit("src/app/settings.py")),
-        (0, say("dev", digits("x", 2), word("y")), told, say(""), F.lit("tests/fixtures/settings.py")),
+        (0, say("dev", digits("x", 2), word("y")), told, say(""), tested),
+        (0, say(F.initcap(word("a")), digits("b", 2), F.initcap(word("c")), "!"), told, say(""), tested),
+        (0, say(F.substring(letters("j", 9), 1, 4), digits("k", 1), F.lower(letters("l", 8))), told, say(" ", word("r")), tested),
+        (0, say(word("a"), digits("m", 1), word("c")), told, say(""), tested),
+        (0, F.substring(b64("n", 12), 1, (10 + F.col("id") % 3).cast("int")), told, say(""), tested),
     ]
     # All other cases are met under any path.
     paths = F.element_at(F.split(F.lit("|src/app/main.py|tests/test_app.py|web"), "[|]"), (F.col("id") % 4 + 1).cast("int"))
