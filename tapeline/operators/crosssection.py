@@ -20,16 +20,23 @@ from . import study as S
 MOVE = 0.01
 BROAD = 0.8
 MIN_MEMBERS = 4
+# fixed values: bars of a member that counts, dates of a sector whose peers are compared
+MIN_BARS, MIN_DATES = 25, 40
 
 
 def with_returns(df: DataFrame, ns: Sequence[int] = (1, 5, 21)) -> DataFrame:
     return df.withColumns({f"r{n}": w.ret("close", w.lag("close", n)) for n in ns})
 
 
-def sector_pulse(df: DataFrame, broad: float = BROAD, min_members: int = MIN_MEMBERS) -> DataFrame:
+def sector_pulse(df: DataFrame, broad: float = BROAD, min_members: int = MIN_MEMBERS, min_bars: int = MIN_BARS) -> DataFrame:
     """Members with their sector's day: shares beyond -+1%, the event, sector
-    means, the gap to the sector over 21 bars and survivors of a selloff."""
-    x = with_returns(df).where(F.col("r1").isNotNull())
+    means, the gap to the sector over 21 bars and survivors of a selloff.
+
+    A member counts from its ``min_bars``-th bar on, a day if ``min_members`` and
+    half of the sector's symbols count."""
+    size = df.groupBy("sector", "symbol").agg(F.count(F.lit(1))).groupBy("sector").agg(F.count(F.lit(1)).alias("__size"))
+    x = with_returns(df).withColumn("__i", w.bar_no()).where(F.col("r1").isNotNull() & (F.col("__i") >= min_bars - 1))
+    x = x.join(size, "sector").drop("__i")
     day = Window.partitionBy("sector", "ts")
     mean = lambda c: F.avg(c).over(day)
     x = x.withColumns(
@@ -41,7 +48,7 @@ def sector_pulse(df: DataFrame, broad: float = BROAD, min_members: int = MIN_MEM
             "sector_r5": mean(F.col("r5")),
             "sector_r21": mean(F.col("r21")),
         }
-    ).where(F.col("n_members") >= min_members)
+    ).where(F.col("n_members") >= F.greatest(F.lit(min_members), F.floor(F.col("__size") / 2))).drop("__size")
     event = F.when(F.col("frac_down") >= broad, "broad_selloff").when(F.col("frac_up") >= broad, "broad_rally")
     return x.withColumn("event", event).withColumns(
         {
@@ -70,10 +77,12 @@ def closest_peers(df: DataFrame, anchors: DataFrame, k: int = 3) -> DataFrame:
 
 def move_attribution(df: DataFrame, big: float = 0.025, k: int = 3) -> DataFrame:
     """For each symbol whose newest bar moved by ``big``: its closest peers'
-    mean move, the residual, and stock-specific against group move."""
-    x = with_returns(df, (1,)).withColumn("__a", w.bars_ago())
+    mean move, the residual, and stock-specific against group move.  Symbols
+    need MIN_BARS bars, their sector MIN_DATES dates."""
+    x = with_returns(df, (1,)).withColumns({"__a": w.bars_ago(), "__n": w.n_bars()}).where(F.col("__n") >= MIN_BARS)
+    long = x.groupBy("sector", "ts").agg(F.count(F.lit(1))).groupBy("sector").agg(F.count(F.lit(1)).alias("__d")).where(F.col("__d") >= MIN_DATES)
     now = x.where(F.col("__a") == 0).select("symbol", "sector", "r1")
-    movers = now.where(F.abs("r1") >= big)
+    movers = now.where(F.abs("r1") >= big).join(long.select("sector"), "sector", "left_semi").select(*now.columns)
     peers = closest_peers(x, movers, k)
     p = peers.join(now.select(F.col("symbol").alias("peer"), F.col("r1").alias("__p")), "peer")
     g = p.groupBy(F.col("anchor").alias("symbol")).agg(

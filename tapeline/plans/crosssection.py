@@ -25,7 +25,8 @@ def sector_px(spark, d):
 
 PULSE = """pu AS MATERIALIZED (SELECT *, CASE WHEN frac_down >= 0.6 THEN 'broad_selloff' WHEN frac_up >= 0.6 THEN 'broad_rally' END AS event FROM (
  SELECT symbol, sector, ts, r1, r21, count(*) OVER d AS n_members, avg((r1 < -0.01)::INT) OVER d AS frac_down, avg((r1 > 0.01)::INT) OVER d AS frac_up, avg(r1) OVER d AS sector_today,
- avg(r5) OVER d AS sector_r5, avg(r21) OVER d AS sector_r21 FROM sx WHERE r1 IS NOT NULL WINDOW d AS (PARTITION BY sector, ts)) WHERE n_members >= 4)"""
+ avg(r5) OVER d AS sector_r5, avg(r21) OVER d AS sector_r21 FROM sx WHERE r1 IS NOT NULL AND i >= 24 WINDOW d AS (PARTITION BY sector, ts))
+ JOIN (SELECT sector, count(DISTINCT symbol) AS size FROM sx GROUP BY 1) USING (sector) WHERE n_members >= greatest(4, size // 2))"""
 
 
 @query(
@@ -46,9 +47,9 @@ def sector_pulse(spark, d):
     P.with_(
         PX,
         SEC_SQL,
-        "nw AS (SELECT symbol, sector, r1 FROM sx WHERE i = n - 1)",
-        "mv AS (SELECT * FROM nw WHERE abs(r1) >= 0.01)",
-        "cc AS (SELECT a.symbol, b.symbol AS peer, corr(a.r1, b.r1) AS c FROM sx a JOIN sx b ON a.sector = b.sector AND a.ts = b.ts AND a.symbol <> b.symbol WHERE a.symbol IN (SELECT symbol FROM mv) GROUP BY 1, 2)",
+        "nw AS (SELECT symbol, sector, r1 FROM sx WHERE i = n - 1 AND n >= 25)",
+        "mv AS (SELECT * FROM nw WHERE abs(r1) >= 0.01 AND sector IN (SELECT sector FROM sx GROUP BY 1 HAVING count(DISTINCT ts) FILTER (n >= 25) >= 40))",
+        "cc AS (SELECT a.symbol, b.symbol AS peer, corr(a.r1, b.r1) AS c FROM sx a JOIN sx b ON a.n >= 25 AND b.n >= 25 AND a.sector = b.sector AND a.ts = b.ts AND a.symbol <> b.symbol WHERE a.symbol IN (SELECT symbol FROM mv) GROUP BY 1, 2)",
         "tp AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY c DESC, peer) AS k FROM cc) WHERE k <= 3)",
         "g AS (SELECT tp.symbol, avg(nw.r1) AS peer_move, string_agg(peer, ',' ORDER BY peer) AS peers FROM tp JOIN nw ON nw.symbol = tp.peer GROUP BY 1)",
     )
