@@ -70,7 +70,7 @@ def closest_peers(df: DataFrame, anchors: DataFrame, k: int = 3) -> DataFrame:
     pairs = a.join(r.select(F.col("symbol").alias("peer"), "sector", "ts", "r1"), ["sector", "ts"]).where(
         F.col("anchor") != F.col("peer")
     )
-    c = pairs.groupBy("anchor", "peer").agg(F.corr("__ra", "r1").alias("corr")).where(F.col("corr").isNotNull())
+    c = pairs.groupBy("anchor", "peer").agg(stats.corr("__ra", "r1").alias("corr")).where(F.col("corr").isNotNull())
     spec = Window.partitionBy("anchor").orderBy(F.desc("corr"), "peer")
     return c.withColumn("pos", F.row_number().over(spec).cast("long")).where(F.col("pos") <= k)
 
@@ -217,8 +217,8 @@ def lead_lag(df: DataFrame, leader: str, follower: str, h: int = 21) -> DataFram
     hi = F.col("a") > F.col("med")
     return win.agg(
         F.count(F.lit(1)).alias("windows"),
-        F.corr("a", "b").alias("same_corr"),
-        F.corr("a", "nb").alias("lead_corr"),
+        stats.corr("a", "b").alias("same_corr"),
+        stats.corr("a", "nb").alias("lead_corr"),
         (F.avg(F.when(hi, F.col("nb"))) - F.avg(F.when(~hi, F.col("nb")))).alias("hi_lo"),
     )
 

@@ -62,7 +62,7 @@ def vol_eval(df: DataFrame, h: int = H) -> DataFrame:
     rf = ranks.average_ranks(rows, ["estimator"], "sigma", "rank_s")
     rm = ranks.average_ranks(rows, ["estimator"], "size", "rank_m")
     both = rows.select("estimator", "sigma", "size").join(rf, ["estimator", "sigma"]).join(rm, ["estimator", "size"])
-    c = both.groupBy("estimator").agg(F.corr("rank_s", "rank_m").alias("spearman"))
+    c = both.groupBy("estimator").agg(stats.corr("rank_s", "rank_m").alias("spearman"))
     return g.join(c, "estimator")
 
 
