@@ -28,15 +28,19 @@ def with_returns(df: DataFrame, ns: Sequence[int] = (1, 5, 21)) -> DataFrame:
     return df.withColumns({f"r{n}": w.ret("close", w.lag("close", n)) for n in ns})
 
 
-def sector_pulse(df: DataFrame, broad: float = BROAD, min_members: int = MIN_MEMBERS, min_bars: int = MIN_BARS) -> DataFrame:
+def sector_pulse(df: DataFrame, broad: float = BROAD, min_members: int = MIN_MEMBERS, min_bars: int = MIN_BARS, every: bool = False) -> DataFrame:
     """Members with their sector's day: shares beyond -+1%, the event, sector
     means, the gap to the sector over 21 bars and survivors of a selloff.
 
     A member counts from its ``min_bars``-th bar on, a day if ``min_members`` and
-    half of the sector's symbols count."""
+    half of the sector's symbols count.  With ``every`` all members that moved
+    count and have their row on days with ``min_members`` of them; ``available``
+    tells whether row and day meet the two rules."""
     size = df.groupBy("sector", "symbol").agg(F.count(F.lit(1))).groupBy("sector").agg(F.count(F.lit(1)).alias("__size"))
-    x = with_returns(df).withColumn("__i", w.bar_no()).where(F.col("r1").isNotNull() & (F.col("__i") >= min_bars - 1))
-    x = x.join(size, "sector").drop("__i")
+    x = with_returns(df).withColumn("__old", w.bar_no() >= min_bars - 1).where(F.col("r1").isNotNull())
+    x = x if every else x.where("__old")
+    size = size.withColumnRenamed("sector", "__s")
+    x = x.join(size, F.col("sector").eqNullSafe(F.col("__s")) if every else F.col("sector") == F.col("__s")).drop("__s")
     day = Window.partitionBy("sector", "ts")
     mean = lambda c: F.avg(c).over(day)
     x = x.withColumns(
@@ -48,7 +52,13 @@ def sector_pulse(df: DataFrame, broad: float = BROAD, min_members: int = MIN_MEM
             "sector_r5": mean(F.col("r5")),
             "sector_r21": mean(F.col("r21")),
         }
-    ).where(F.col("n_members") >= F.greatest(F.lit(min_members), F.floor(F.col("__size") / 2))).drop("__size")
+    )
+    need = F.greatest(F.lit(min_members), F.floor(F.col("__size") / 2))
+    if every:
+        x = x.withColumn("available", F.col("__old") & (F.count_if("__old").over(day) >= need)).where(F.col("n_members") >= min_members)
+    else:
+        x = x.where(F.col("n_members") >= need)
+    x = x.drop("__size", "__old")
     event = F.when(F.col("frac_down") >= broad, "broad_selloff").when(F.col("frac_up") >= broad, "broad_rally")
     return x.withColumn("event", event).withColumns(
         {

@@ -28,16 +28,22 @@ PULSE = """pu AS MATERIALIZED (SELECT *, CASE WHEN frac_down >= 0.6 THEN 'broad_
  avg(r5) OVER d AS sector_r5, avg(r21) OVER d AS sector_r21 FROM sx WHERE r1 IS NOT NULL AND i >= 24 WINDOW d AS (PARTITION BY sector, ts))
  JOIN (SELECT sector, count(DISTINCT symbol) AS size FROM sx GROUP BY 1) USING (sector) WHERE n_members >= greatest(4, size // 2))"""
 
+# Every member with a return on its day; ``available`` has the rules that PULSE filters by.
+PULSE_ALL = """pu AS MATERIALIZED (SELECT *, old AND n_old >= greatest(4, size // 2) AS available, CASE WHEN frac_down >= 0.6 THEN 'broad_selloff' WHEN frac_up >= 0.6 THEN 'broad_rally' END AS event FROM (
+ SELECT symbol, sector, ts, r1, r21, i >= 24 AS old, count(*) FILTER (i >= 24) OVER d AS n_old, count(*) OVER d AS n_members, avg((r1 < -0.01)::INT) OVER d AS frac_down, avg((r1 > 0.01)::INT) OVER d AS frac_up,
+ avg(r1) OVER d AS sector_today, avg(r5) OVER d AS sector_r5, avg(r21) OVER d AS sector_r21 FROM sx WHERE r1 IS NOT NULL WINDOW d AS (PARTITION BY sector, ts)) p
+ JOIN (SELECT sector AS sec, count(DISTINCT symbol) AS size FROM sx GROUP BY 1) ON sector IS NOT DISTINCT FROM sec WHERE n_members >= 4)"""
+
 
 @query(
     "sector_pulse",
     "E18",
-    P.with_(PX, SEC_SQL, PULSE)
-    + "SELECT symbol, sector, ts, r1, n_members, frac_down, frac_up, sector_today, sector_r5, sector_r21, event, coalesce(event = 'broad_selloff' AND r1 > 0, false) AS survivor, r21 - sector_r21 AS gap21 FROM pu",
+    P.with_(PX, SEC_SQL, PULSE_ALL)
+    + "SELECT symbol, sector, ts, r1, n_members, frac_down, frac_up, sector_today, sector_r5, sector_r21, event, coalesce(event = 'broad_selloff' AND r1 > 0, false) AS survivor, r21 - sector_r21 AS gap21, available FROM pu",
 )
 def sector_pulse(spark, d):
-    return X.sector_pulse(sector_px(spark, d), broad=0.6).select(
-        "symbol", "sector", "ts", "r1", "n_members", "frac_down", "frac_up", "sector_today", "sector_r5", "sector_r21", "event", "survivor", "gap21"
+    return X.sector_pulse(sector_px(spark, d), broad=0.6, every=True).select(
+        "symbol", "sector", "ts", "r1", "n_members", "frac_down", "frac_up", "sector_today", "sector_r5", "sector_r21", "event", "survivor", "gap21", "available"
     )
 
 
