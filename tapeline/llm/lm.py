@@ -7,7 +7,8 @@ their own, the others fall into classes by ending, script and length.
 * Word counts cover all training texts: distinct words meet by hash bucket and
   the counts go back to the blocks that asked (``vocab``).
 * Class trigram counts cover all training texts too; there are at most CLASSES**3
-  of them whatever the corpus, so one numpy process trains on all.
+  of them whatever the corpus, so one numpy process trains on all of them,
+  none drawn or left out.
 * The log-bilinear part predicts a class vector from two context vectors; batched
   matrix products over all pairs of context classes give a table of normalised
   log-probabilities, which is broadcast (bounded by CLASSES**3)."""
@@ -36,7 +37,8 @@ END = TOP + FEATURES
 CLASSES = END + 1
 #: Added to each count, for the base score and inside a class.
 ALPHA = 0.1
-WIDTH, STEPS, BATCH, NOISE, RATE, SEED = 24, 1500, 2048, 64, 0.2, 7
+#: STEPS is of an epoch.
+WIDTH, EPOCHS, STEPS, NOISE, RATE, SCALE, SEED = 24, 24, 128, 64, 0.2, 45.0, 7
 
 
 def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[pa.Array, np.ndarray]:
@@ -110,40 +112,44 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def train(cells: np.ndarray, n: np.ndarray) -> np.ndarray:
     """Normalised log10 probabilities [class before last, last class, class] from trigram counts.
 
-    ``cells`` numbers the trigrams.  Samples are drawn by count; noise comes from
-    the class frequencies."""
+    ``cells`` numbers the trigrams.  Every epoch goes through all of them, weighted
+    by count, a run of contexts a step; noise is not drawn but has its expectation:
+    NOISE times the class frequencies for each trigram of a context."""
     rng = np.random.default_rng(SEED)
     k = CLASSES
-    weight = np.cumsum(n) / max(1, n.sum())
     unigram = np.bincount(cells % k, weights=n, minlength=k) + 1.0
     unigram /= unigram.sum()
     log_noise = np.log(NOISE * unigram)
-    noise_at = np.cumsum(unigram)
     r, q = rng.normal(0, 0.1, (k, WIDTH)), rng.normal(0, 0.1, (k, WIDTH))
     c1, c2, b = np.eye(WIDTH) * 0.5, np.eye(WIDTH) * 0.8, np.log(unigram)
     params = [r, q, c1, c2, b]
     squares = [np.full(p.shape, 1e-3) for p in params]
-    for _ in range(STEPS if len(cells) else 0):
-        x = cells[np.minimum(np.searchsorted(weight, rng.random(BATCH)), len(cells) - 1)]
-        w1, w2, w = x // (k * k), x // k % k, x % k
-        noise = np.minimum(np.searchsorted(noise_at, rng.random(NOISE)), k - 1)
-        h = r[w1] @ c1 + r[w2] @ c2
-        real = (h * q[w]).sum(1) + b[w] - log_noise[w]
-        fake = h @ q[noise].T + (b - log_noise)[noise]
-        g_real, g_fake = (1 / (1 + np.exp(-real)) - 1) / BATCH, 1 / (1 + np.exp(-fake)) / BATCH
-        dh = g_real[:, None] * q[w] + g_fake @ q[noise]
-        grads = [np.zeros_like(p) for p in params]
-        np.add.at(grads[1], w, g_real[:, None] * h)
-        np.add.at(grads[1], noise, g_fake.T @ h)
-        np.add.at(grads[4], w, g_real)
-        np.add.at(grads[4], noise, g_fake.sum(0))
-        np.add.at(grads[0], w1, dh @ c1.T)
-        np.add.at(grads[0], w2, dh @ c2.T)
-        grads[2], grads[3] = r[w1].T @ dh, r[w2].T @ dh
-        for p, s, g in zip(params, squares, grads, strict=True):
-            g *= BATCH ** 0.5
-            s += g * g
-            p -= RATE * g / np.sqrt(s)
+    contexts, at = np.unique(cells // k, return_inverse=True)
+    total = np.bincount(at, weights=n)
+    order = np.argsort(at, kind="stable")
+    cuts = np.searchsorted(at[order], np.arange(len(contexts) + 1))
+    for _ in range(EPOCHS):
+        mixed = rng.permutation(len(contexts))
+        # steps of about equal counts: a step takes contexts until it has its share of all trigrams
+        share = (np.cumsum(total[mixed]) - total[mixed]) * STEPS // max(1, n.sum())
+        for own in np.split(mixed, np.flatnonzero(np.diff(share)) + 1) if len(mixed) else []:
+            mine = order[np.concatenate([np.arange(cuts[c], cuts[c + 1]) for c in own])]
+            size = np.diff(cuts)[own]
+            real = np.zeros((len(own), k))
+            real[np.repeat(np.arange(len(own)), size), cells[mine] % k] = n[mine]
+            w1, w2 = contexts[own] // k, contexts[own] % k
+            h = r[w1] @ c1 + r[w2] @ c2
+            p_real = 1 / (1 + np.exp(-(h @ q.T + b - log_noise)))
+            noise = total[own][:, None] * (NOISE * unigram)
+            g = ((real + noise) * p_real - real) * (STEPS / n.sum())
+            dh = g @ q
+            grads = [np.zeros_like(r), g.T @ h, r[w1].T @ dh, r[w2].T @ dh, g.sum(0)]
+            np.add.at(grads[0], w1, dh @ c1.T)
+            np.add.at(grads[0], w2, dh @ c2.T)
+            for p, s, d in zip(params, squares, grads, strict=True):
+                d *= SCALE
+                s += d * d
+                p -= RATE * d / np.sqrt(s)
     out = np.empty((k, k, k), np.float32)
     second = r @ c2
     for c, first in enumerate(r @ c1):

@@ -250,6 +250,13 @@ def test_class_model_is_normalised(monkeypatch):
     assert np.allclose((10.0 ** table.astype(np.float64)).sum(2), 1, atol=1e-4)
 
 
+def test_rare_trigrams_are_trained_on():
+    k, cells, n = lm.CLASSES, np.arange(50), np.append(np.full(50, 1e9), 1e3)
+    of = lambda context: lm.train(np.append(cells, context * k + 9), n)
+    with_, without = of(5 * k + 7), of(6 * k + 8)
+    assert with_[5, 7, 9] > without[5, 7, 9] and with_[6, 8, 9] < without[6, 8, 9]
+
+
 def test_article_of_every_page(spark):
     got = registry.QUERIES["op4_html_extraction"].run(spark, SMALL).collect()
     page = {r.page_id: r.html for r in spark.read.parquet(f"{SMALL}/pages.parquet").collect()}
