@@ -30,12 +30,9 @@ def _holdings(spark, d):
     o = P.table(spark, d, "orders").select("o_orderkey", "o_custkey")
     c = P.table(spark, d, "customer").select("c_custkey", "c_nationkey", "c_mktsegment")
     n = P.nations(spark, d).select("n_nationkey", F.col("symbol").alias("n_name"))
-    x = (
-        li.join(part, li["l_partkey"] == part["p_partkey"])
-        .join(o, li["l_orderkey"] == o["o_orderkey"])
-        .join(c, F.col("o_custkey") == F.col("c_custkey"))
-        .join(n, F.col("c_nationkey") == F.col("n_nationkey"))
-    )
+    # parts, orders and customers grow with the lines, so none of them is broadcast; their few columns meet first
+    own = o.join(c.hint("merge"), F.col("o_custkey") == F.col("c_custkey")).join(n, F.col("c_nationkey") == F.col("n_nationkey"))
+    x = li.join(part.hint("merge"), li["l_partkey"] == part["p_partkey"]).join(own.hint("merge"), li["l_orderkey"] == F.col("o_orderkey"))
     account = F.concat_ws("/", "n_name", "c_mktsegment")
     symbol = F.when(F.col("p_size") <= 25, F.col("p_type")).otherwise(F.col("p_brand"))
     q = F.when(F.col("l_returnflag") == "R", -F.col("l_quantity")).otherwise(F.col("l_quantity"))
@@ -60,7 +57,7 @@ def fund_holdings(spark, d):
 def _fund_holdings(spark, d):
     li = P.table(spark, d, "lineitem").select("l_partkey", "l_quantity")
     part = P.table(spark, d, "part").select("p_partkey", "p_brand", "p_type")
-    g = li.join(part, li["l_partkey"] == part["p_partkey"]).groupBy("p_type", "p_brand").agg(F.sum("l_quantity").alias("q"))
+    g = li.join(part.hint("merge"), li["l_partkey"] == part["p_partkey"]).groupBy("p_type", "p_brand").agg(F.sum("l_quantity").alias("q"))
     t = g.groupBy("p_type").agg(F.sum("q").alias("t"))
     return g.join(t, "p_type").select(F.col("p_type").alias("fund"), F.col("p_brand").alias("underlying"), (0.85 * F.col("q") / F.col("t")).alias("weight"))
 

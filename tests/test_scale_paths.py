@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from tapeline.functions import scan
 from tapeline.operators import chunks, crosssection, indicators, ledger, patterns, trades
+from tapeline.plans import panels
+from tapeline.plans import portfolio as portfolio_plans
 
 
 @pytest.mark.parametrize("span", [5, 204, 2000])
@@ -94,3 +96,11 @@ def test_ledger_table(spark, tmp_path):
     with pytest.raises(Exception):
         ledger.append(signals(first), str(bad))
     assert (bad / "part-0.parquet").read_text() == "not parquet"
+
+
+def test_growing_tables_are_not_broadcast(spark):
+    d = "/root/testdata/sf0.001"
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    for df, joins in ((panels.part_trades(spark, d, "p_brand"), 1), (portfolio_plans._holdings(spark, d), 3), (portfolio_plans._fund_holdings(spark, d), 1)):
+        assert plan(df).count("SortMergeJoin") >= joins
+    assert "Broadcast" not in plan(panels.part_trades(spark, d, "p_brand"))
