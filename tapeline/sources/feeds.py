@@ -3,8 +3,15 @@ quotes and reference data.  Each parser is a projection over many rows."""
 
 from __future__ import annotations
 
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+
+from . import plain_xml
+
+# the reader travels with its function, so executors need no copy of this package
+cloudpickle.register_pickle_by_value(plain_xml)
 
 LAG_DAYS = 45
 # fixed value: what counts as a purchase
@@ -50,13 +57,20 @@ nonDerivativeTable STRUCT<nonDerivativeTransaction: ARRAY<STRUCT<
     transactionAcquiredDisposedCode: STRUCT<value: STRING>>>>>"""
 
 
+def _form4(xml: str) -> Column:
+    """``from_xml``; documents of elements and text only are read by the batch."""
+    schema = StructType.fromDDL(_FORM4)
+    tree = plain_xml.tree_of(schema)
+    return F.coalesce(F.arrow_udf(lambda x: plain_xml.read(x, tree), schema)(xml), F.from_xml(xml, _FORM4))
+
+
 def parse_form4(filings: DataFrame, xml: str = "xml") -> DataFrame:
     """Transactions of Form 4 documents: one row per non-derivative line.
 
     The role is the officer title, else director, else officer, else insider;
     unreadable numbers count as 0."""
     keep = [c for c in filings.columns if c != xml]
-    p = filings.withColumn("__f", F.from_xml(xml, _FORM4))
+    p = filings.withColumn("__f", _form4(xml))
     owner = F.col("__f.reportingOwner.reportingOwnerId.rptOwnerName")
     rel = F.col("__f.reportingOwner.reportingOwnerRelationship")
     title = F.trim(rel["officerTitle"])
